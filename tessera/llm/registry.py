@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, secrets
+from . import quality, secrets, urls
 from ._common import table
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f0 O
 FROM f
 """
 
+ORACLES["op2_url_filter"] = r"""
+WITH u AS (SELECT row_number() OVER () AS rid, page_id, url, strpos(coalesce(url, ''), '://') AS pos FROM pages),
+p AS (SELECT rid, page_id,
+             CASE WHEN pos > 0 THEN lower(regexp_extract(substr(url, pos + 3), '^[^/?#]*')) ELSE '' END AS host,
+             CASE WHEN pos > 0 THEN regexp_extract(substr(url, pos + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM u),
+r AS (SELECT * FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+                            ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) AS t(act, rh, rp)),
+m AS (SELECT rid, act, rh || rp AS rule FROM p JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+      QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length(rh || rp) DESC, length(rh) DESC) = 1)
+SELECT page_id, host, path, rule,
+       coalesce(act, CASE WHEN regexp_matches(host, '(^|\.)(adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm)\.example\.(com|net|org)$')
+                          THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN m USING (rid)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
