@@ -75,63 +75,71 @@ def _sizes(n: int, rate: float) -> tuple[int, int]:
     return max(1, round(math.log2(1 / rate))), -(-bits // 64)
 
 
-def _encode(keys: DataFrame, level: int, n: int, rate: float) -> tuple[int, np.ndarray]:
-    """One level; tasks set bits, a sum by word merges them, so the driver gets no more than the filter's own words."""
-    k, size = _sizes(n, rate)
+def _encode(h1: np.ndarray, h2: np.ndarray, level: int, rate: float) -> tuple[int, np.ndarray]:
+    k, size = _sizes(len(h1), rate)
     if size * 8 > MAX_BYTES:
         raise ValueError(f"a level of {size * 8} bytes is more than {MAX_BYTES}; split the list")
+    words = np.zeros(size, np.uint64)
+    for p in _positions(h1, h2, level, k, size * 64):
+        np.bitwise_or.at(words, (p >> np.uint64(6)).astype(np.int64), np.uint64(1) << (p & np.uint64(63)))
+    return k, words
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.zeros(size, np.uint64)
-        for b in batches:
-            h1, h2 = (np.asarray(b.column(i)).view(np.uint64) for i in (0, 1))
-            for p in _positions(h1, h2, level, k, size * 64):
-                np.bitwise_or.at(words, (p >> np.uint64(6)).astype(np.int64), np.uint64(1) << (p & np.uint64(63)))
-        at = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at].view(np.int64))], ["word", "bits"])
 
-    out = np.zeros(size, np.uint64)
-    for r in keys.select("h1", "h2").mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
-        out[r.word] = np.uint64(r.bits & (2**64 - 1))
-    return k, out
+Hashes = tuple[np.ndarray, np.ndarray]
 
 
-def build(listed: DataFrame, universe: DataFrame) -> Cascade:
-    """A cascade of the keys of listed over both tables' keys; each has columns h1 and h2, two 64-bit hashes.
+def _without(a: Hashes, b: Hashes) -> Hashes:
+    """The distinct keys of a that are not in b."""
+    kind = np.dtype([("1", np.uint64), ("2", np.uint64)])
+    x, y = (np.array(list(zip(*k)), kind) for k in (a, b))
+    left = np.setdiff1d(x, y)
+    return left["1"], left["2"]
 
-    After level 1, about 0.7 keys of the universe for each listed key are left, and each level halves that."""
-    listed, universe = listed.select("h1", "h2").distinct(), universe.select("h1", "h2").distinct()
-    r, s = listed.count(), universe.count()
-    if not r:
-        return Cascade([])
-    rate = min(0.5, 0.7 * r / max(1, s))
-    cascade = Cascade([_encode(listed, 0, r, rate)])
-
-    def passing(keys: DataFrame, level: int) -> DataFrame:
-        def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                h1, h2 = (np.asarray(b.column(i)).view(np.uint64) for i in (0, 1))
-                yield b.filter(pa.array(cascade.passes(level, h1, h2)))
-
-        return keys.mapInArrow(test, "h1 long, h2 long")
-
-    ours = listed
-    others = passing(universe, 0).join(listed, ["h1", "h2"], "left_anti").persist()
-    held = [others]
-    try:
-        while n := others.count():
-            level = len(cascade.levels)
-            if level >= MAX_LEVELS:
-                raise ValueError("the cascade doesn't end: two keys share both hashes")
-            cascade.levels.append(_encode(others, level, n, 0.5))
-            ours, others = others, passing(ours, level).persist()
-            held.append(others)
-    finally:
-        for x in held:
-            x.unpersist()
+
+def _levels(cascade: Cascade, ours: Hashes, others: Hashes) -> Cascade:
+    """Further levels, until no key of others passes where it shouldn't; each halves what is left."""
+    while len(others[0]):
+        level = len(cascade.levels)
+        if level >= MAX_LEVELS:
+            raise ValueError("the cascade doesn't end: two keys share both hashes")
+        cascade.levels.append(_encode(*others, level, 0.5))
+        still = cascade.passes(level, *ours)
+        ours, others = others, (ours[0][still], ours[1][still])
     return cascade
 
 
+def build_small(listed: Hashes, universe: Hashes) -> Cascade:
+    """A cascade over keys that are all here."""
+    if not len(listed[0]):
+        return Cascade([])
+    cascade = Cascade([_encode(*listed, 0, 0.5)])
+    others = _without(universe, listed)
+    passing = cascade.passes(0, *others)
+    return _levels(cascade, listed, (others[0][passing], others[1][passing]))
+
+
+def build(listed: Hashes, universe: DataFrame) -> Cascade:
+    """A cascade of the listed keys over all keys of a table with columns h1 and h2.
+
+    The table is only read: tasks test its keys against level 1, whose rate leaves about 0.7 of them for
+    each listed key, and these alone are made distinct and sent. So no shuffle grows with the corpus, and
+    the driver gets no more than in proportion to the list that it holds anyway."""
+    n = len(listed[0])
+    if not n:
+        return Cascade([])
+    s = universe.agg(F.approx_count_distinct("h1")).head()[0]
+    cascade = Cascade([_encode(*listed, 0, min(0.5, 0.7 * n / max(1, s)))])
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h1, h2 = (np.asarray(b.column(i)).view(np.uint64) for i in (0, 1))
+            yield b.filter(pa.array(cascade.passes(0, h1, h2)))
+
+    rows = universe.select("h1", "h2").mapInArrow(test, "h1 long, h2 long").distinct().collect()
+    found = tuple(np.array([r[i] for r in rows], np.int64).view(np.uint64) for i in (0, 1))
+    return _levels(cascade, listed, _without(found, listed))
+
+
 def host(url: Column) -> Column:
     """After the first :// up to /, ?, # or the end, A-Z lower-cased; empty without ://."""
     at = F.instr(url, "://")
@@ -183,14 +191,18 @@ def judge(
             raise ValueError(f"a rule is a host and a path that starts with /: {h}{p}")
     labels = max([len(h.split(".")) for h in [*listed, *(h for _, h, _ in rules)]], default=1)
     lengths = sorted({0, *(len(p) for _, _, p in rules)}, reverse=True)
-    frame = lambda names: spark.createDataFrame([(x,) for x in names], "key string").select(*_hash(F.col("key")))
     of = {a: [f"{h}{p}" for b, h, p in rules if b == a] for a in ("allow", "block")}
     site = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), host(F.col(f"`{url_col}`")).alias("host"), path(F.col(f"`{url_col}`")).alias("path"))
     site = site.withColumn("keys", keys("host", "path", labels, lengths))
     universe = site.select(F.explode("keys").alias("key")).select(*_hash(F.col("key")))
-    every = frame([*of["allow"], *of["block"], *listed])
+    listed_keys = sorted({*of["allow"], *of["block"], *listed})
+    rows = spark.createDataFrame([(k,) for k in listed_keys], "key string").select("key", *_hash(F.col("key"))).collect()
+    hashed_keys = {r.key: (r.h1, r.h2) for r in rows}
+    hashes = lambda names: tuple(np.array([hashed_keys[k][i] for k in sorted(set(names))], np.int64).view(np.uint64) for i in (0, 1))
+    every = hashes(listed_keys)
     # membership over the corpus's keys; then, among members, which are rules and which of those block
-    member, is_rule, blocks = build(every, universe), build(frame([*of["allow"], *of["block"]]), every), build(frame(of["block"]), every)
+    member = build(every, universe)
+    is_rule, blocks = build_small(hashes([*of["allow"], *of["block"]]), every), build_small(hashes(of["block"]), every)
     sent = spark.sparkContext.broadcast((member, is_rule, blocks))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
