@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import html, langid, pii, quality, secrets, urls
+from . import html, langid, pieces, pii, quality, secrets, urls
 from ._common import table
 
 
@@ -28,6 +29,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pieces.tokenize(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_tokens", F.xxhash64("ids").alias("ids_hash"), "round_trip")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
