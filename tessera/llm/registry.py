@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, langid, pieces, pii, quality, secrets, urls
+from . import decontam, html, langid, neardup, pieces, pii, quality, secrets, urls
 from ._common import table
 
 
@@ -33,6 +33,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link(table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pieces.tokenize(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_tokens", F.xxhash64("ids").alias("ids_hash"), "round_trip")
@@ -89,6 +93,20 @@ SELECT page_id, host, path, rule,
 FROM p LEFT JOIN m USING (rid)
 """
 
+ORACLES["op7_minhash_dedup"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS sh
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS joint FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * joint >= 75 * (na.n + nb.n - joint)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, l.b FROM r JOIN l ON l.a = r.y),
+c AS (SELECT x, min(y) AS c FROM r GROUP BY x)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c AS component_id, doc_id = c AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN c ON c.x = doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
