@@ -29,6 +29,10 @@ ANSWER = 0.25
 HALF = 64
 BLOCK = 8
 MAX_BLOCKS = 32
+#: Entries of the tables by term and block.
+MAX_TABLE = 1 << 24
+#: Pairs of a passage and a block that are scored at a time.
+PAIRS = 20_000
 #: Bytes of items that an index holds; more are taken in several rounds.
 MAX_INDEX = 32 << 20
 
@@ -40,6 +44,11 @@ def terms(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_READ).split()
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 class Index:
     """Items of one class of lengths (at most half words), and their weights by term."""
 
@@ -52,7 +61,7 @@ class Index:
         self.size = v
         df = Counter(t for c in coded for t in set(c))
         mean = sum(map(len, coded)) / n
-        self.blocks = min(MAX_BLOCKS, -(-n // BLOCK))
+        self.blocks = min(MAX_BLOCKS, -(-n // BLOCK), max(1, MAX_TABLE // v))
         self.block_of = np.arange(n) * self.blocks // n
         rows = []
         for k, c in enumerate(coded):
@@ -61,8 +70,11 @@ class Index:
             rows += [(t, k, w / limit) for t, w in own.items()]
         rows.sort()
         t, k, w = (np.array(x) for x in zip(*rows))
-        self.start = np.searchsorted(t, np.arange(v + 1))
         self.item, self.weight = k.astype(np.int64), w.astype(np.float64)
+        #: postings of term t in block b: from start[t * blocks + b] to the next
+        self.start = np.searchsorted(t * self.blocks + self.block_of[k], np.arange(v * self.blocks + 1))
+        self.first_of = np.searchsorted(self.block_of, np.arange(self.blocks))
+        self.widest = int(np.bincount(self.block_of).max())
         #: greatest weight of each term in each block
         self.bound = np.zeros((v, self.blocks), np.float32)
         np.maximum.at(self.bound, (t, self.block_of[k]), w.astype(np.float32))
@@ -88,7 +100,7 @@ class Index:
         text = np.repeat(np.arange(len(coded)), n)
         place = np.arange(len(flat)) - np.repeat(np.append(0, np.cumsum(n))[:-1], n)
         known = flat >= 0
-        keys = np.unique((base[text[known]] + place[known] // self.half) * self.size + flat[known])
+        keys = _distinct((base[text[known]] + place[known] // self.half) * self.size + flat[known])
         if not len(keys):
             return
         half, term = np.divmod(keys, self.size)
@@ -103,30 +115,55 @@ class Index:
         starts = np.append(at, len(keys))
         first = np.searchsorted(half[at], np.arange(base[-1] + 1))
         found: dict[tuple[int, int], tuple[float, float, float]] = {}
-        for p in np.unique(hit).tolist():
-            t = int(np.searchsorted(base, p, side="right")) - 1
-            ends = p + (1 if last[p] else 2)
-            own = np.unique(term[starts[first[p]] : starts[first[ends]]])
-            spans = [(self.start[x], self.start[x + 1]) for x in own.tolist()]
-            items = np.concatenate([self.item[a:b] for a, b in spans])
-            score = np.bincount(items, np.concatenate([self.weight[a:b] for a, b in spans]), len(self.ids))
-            good = np.flatnonzero(score >= 1)
-            good = good[np.isin(self.block_of[good], block[hit == p])]
-            if not len(good):
-                continue
-            w = coded[t][(p - base[t]) * self.half : (ends - base[t]) * self.half].tolist()
-            there = {size: {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} for size in {min(SHINGLE, len(next(iter(q or a)))) for q, a in (self.shingles[k] for k in good)}}
-            for k in good.tolist():
-                q, a = self.shingles[k]
-                has = there[len(next(iter(q or a)))]
-                nq, na = len(q & has), len(a & has)
-                if nq + na >= OVERLAP * (len(q) + len(a)) and nq >= PART * len(q) and na >= PART * len(a):
-                    new = (float(score[k]) * RETRIEVE, nq / len(q) if q else 1.0, na / len(a) if a else 1.0)
-                    if new[1:] > found.get((t, k), (0, -1.0, -1.0))[1:]:
-                        found[t, k] = new
+        # passages in slices, so that what is laid out side by side stays bounded
+        for i in range(0, len(hit), PAIRS):
+            for p, items, score in self._score(hit[i : i + PAIRS], block[i : i + PAIRS], last, starts[first], term):
+                self._verify(p, items, score, base, last, coded, found)
         for (t, k), x in sorted(found.items()):
             yield t, self.ids[k], *x
 
+    def _score(self, hit: np.ndarray, block: np.ndarray, last: np.ndarray, begin: np.ndarray, term: np.ndarray) -> Iterator[tuple[int, list[int], list[float]]]:
+        """Passages with items at or above the threshold, from pairs of a passage and a block."""
+
+        def ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            n = hi - lo
+            which = np.repeat(np.arange(len(n)), n)
+            return which, np.repeat(lo, n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+
+        ends = hit + np.where(last[hit], 1, 2)
+        pair, at = ranges(begin[hit], begin[ends])
+        # a term in both halves counts once
+        key = _distinct(pair * self.size + term[at])
+        pair, own = np.divmod(key, self.size)
+        cell = own * self.blocks + block[pair]
+        which, post = ranges(self.start[cell], self.start[cell + 1])
+        slot = pair[which] * self.widest + self.item[post] - self.first_of[block[pair[which]]]
+        score = np.bincount(slot, self.weight[post], len(hit) * self.widest)
+        good = np.flatnonzero(score >= 1)
+        by: dict[int, tuple[list[int], list[float]]] = {}
+        for s in good.tolist():
+            j, k = divmod(s, self.widest)
+            items, scores = by.setdefault(int(hit[j]), ([], []))
+            items.append(int(self.first_of[block[j]]) + k)
+            scores.append(float(score[s]))
+        for p, (items, scores) in by.items():
+            yield p, items, scores
+
+    def _verify(self, p: int, items: list[int], scores: list[float], base: np.ndarray, last: np.ndarray, coded: list[np.ndarray], found: dict) -> None:
+        t = int(np.searchsorted(base, p, side="right")) - 1
+        w = coded[t][(p - base[t]) * self.half : (p - base[t] + (1 if last[p] else 2)) * self.half].tolist()
+        there: dict[int, set] = {}
+        for k, score in zip(items, scores):
+            q, a = self.shingles[k]
+            size = len(next(iter(q or a)))
+            if size not in there:
+                there[size] = {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}
+            nq, na = len(q & there[size]), len(a & there[size])
+            if nq + na >= OVERLAP * (len(q) + len(a)) and nq >= PART * len(q) and na >= PART * len(a):
+                new = (score * RETRIEVE, nq / len(q) if q else 1.0, na / len(a) if a else 1.0)
+                if new[1:] > found.get((t, k), (0, -1.0, -1.0))[1:]:
+                    found[t, k] = new
+
 
 def indexes(items: list[tuple[int, str | None]]) -> list[Index]:
     """One for each class of lengths: passages of HALF, twice that, and so on. Items without a term are left out."""

@@ -51,7 +51,7 @@ def test_bound_loses_nothing():
         own = {index.vocab[w] for w in decontam.terms(text)}
         per = index.bound[sorted(own)].sum(axis=0)
         for j in range(60):
-            score = sum(index.weight[p] for t in own for p in range(index.start[t], index.start[t + 1]) if index.item[p] == j)
+            score = sum(index.weight[p] for t in own for p in range(index.start[t * index.blocks], index.start[(t + 1) * index.blocks]) if index.item[p] == j)
             assert score <= per[index.block_of[j]] * 1.001
 
 
