@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from ._common import rows_of
 
 SPACE = "▁"
-#: Units seen before, with their ids, are kept by a task up to so many.
-CACHE = 1_000_000
+#: Units met lately, with their ids, are kept by a task: up to so many, and the generation before.
+CACHE = 300_000
+#: Characters of the text that is indexed at a time.
+PART = 400_000
 
 
 class Vocabulary:
@@ -70,51 +72,73 @@ class Matcher:
         for i, p in enumerate(v.normal):
             self.grid[i, : len(p)] = [ord(c) for c in p]
 
-    def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All occurrences of pieces in a text: (place * longest + length - 1), sorted, and the piece of each.
+    def edges(self, codes: np.ndarray) -> np.ndarray:
+        """All occurrences of pieces in a text, by position: at place * longest + length - 1 the piece, or -1.
 
-        Suffixes are sorted by as many characters as the longest piece has, which is all that a piece can
-        see; characters are numbered anew (0: the separator), so that several share a 64-bit word."""
-        alphabet = np.unique(codes)
+        Suffixes are sorted by their first characters, numbered anew (0: the separator) so that several
+        share a 64-bit word. Every piece is binary-searched by as much; of the longer ones each occurrence
+        found is compared in the words that follow."""
+        alphabet = np.flatnonzero(np.bincount(codes))
         alphabet = alphabet[alphabet > 0]
+        out = np.full(len(codes) * self.v.longest, -1, np.int32)
+        if not len(alphabet):
+            return out
         bits = 8 if len(alphabet) < 255 else 16 if len(alphabet) < 65535 else 32
-        per, width = 64 // bits, -(-self.v.longest // (64 // bits)) * (64 // bits)
+        per = 64 // bits
+        words = -(-self.v.longest // per)
         number = np.searchsorted(alphabet, self.grid)
         there = alphabet[np.minimum(number, len(alphabet) - 1)] == self.grid
         pieces = np.flatnonzero((there | (self.grid == 0)).all(axis=1))
-        low = np.zeros((len(pieces), width), np.uint64)
+        low = np.zeros((len(pieces), words * per), np.uint64)
         low[:, : self.v.longest] = np.where(self.grid[pieces] > 0, number[pieces] + 1, 0)
-        high = np.where(np.arange(width) < self.lengths[pieces, None], low, np.uint64((1 << bits) - 1))
+        lengths = self.lengths[pieces]
+        high = np.where(np.arange(words * per) < lengths[:, None], low, np.uint64((1 << bits) - 1))
         n = len(codes)
-        text = np.concatenate([np.where(codes > 0, np.searchsorted(alphabet, codes) + 1, 0).astype(np.uint64), np.zeros(width, np.uint64)])
-
-        def pack(columns) -> list[np.ndarray]:
-            words = []
-            for at in range(0, width, per):
-                w = columns(at).copy()
-                for i in range(at + 1, at + per):
-                    w = w << np.uint64(bits) | columns(i)
-                words.append(w)
-            return words
-
-        keys = pack(lambda i: text[i : i + n])
-        suffixes = np.lexsort(keys[::-1])
-        rows = [k[suffixes] for k in keys]
-        first = _bound(rows, pack(lambda i: low[:, i]), False)
-        last = _bound(rows, pack(lambda i: high[:, i]), True)
-        count = last - first
+        renamed = np.zeros(int(alphabet[-1]) + 1, np.uint64)
+        renamed[alphabet] = np.arange(1, len(alphabet) + 1)
+        text = np.concatenate([renamed[codes], np.zeros(words * per, np.uint64)])
+
+        def pack(column, at: int) -> np.ndarray:
+            w = column(at).copy()
+            for i in range(at + 1, at + per):
+                w <<= np.uint64(bits)
+                w |= column(i)
+            return w
+
+        key = pack(lambda i: text[i : i + n], 0)
+        suffixes = np.argsort(key)
+        rows = key[suffixes]
+        first = np.searchsorted(rows, pack(lambda i: low[:, i], 0), side="left")
+        count = np.searchsorted(rows, pack(lambda i: high[:, i], 0), side="right") - first
         which = np.repeat(np.arange(len(pieces)), count)
-        starts = np.repeat(first, count) + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-        edge = suffixes[starts].astype(np.int64) * self.v.longest + self.lengths[pieces[which]] - 1
-        order = np.argsort(edge)
-        return edge[order], pieces[which[order]]
+        place = suffixes[np.repeat(first, count) + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)]
+        long = np.flatnonzero(lengths[which] > per)
+        same = np.ones(len(which), bool)
+        for w in range(1, words):
+            at = text[np.minimum(place[long, None] + np.arange(w * per, (w + 1) * per), len(text) - 1)]
+            want = low[which[long], w * per : (w + 1) * per]
+            same[long] &= ((at == want) | (want == 0)).all(axis=1)
+        place, which = place[same], which[same]
+        out[place * self.v.longest + lengths[which] - 1] = pieces[which]
+        return out
 
-    def encode_units(self, units: list[str]) -> list[np.ndarray]:
-        """Ids of each unit."""
+    def encode_units(self, units: list[str]) -> list[bytes]:
+        """Ids of each unit, as bytes of little-endian 32-bit numbers; the text of at most PART units' characters at a time."""
+        out: list[bytes] = []
+        part, size = [], 0
+        for u in units:
+            part.append(u)
+            size += len(u) + 1
+            if size >= PART:
+                out += self._encode(part)
+                part, size = [], 0
+        return out + self._encode(part) if part else out
+
+    def _encode(self, units: list[str]) -> list[bytes]:
         v, n_units = self.v, len(units)
         sizes = np.array([len(u) for u in units], np.int64)
         codes = np.frombuffer(("\0".join(units) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        edge, piece = self.edges(codes)
+        table = self.edges(codes)
         n, top = len(codes), v.longest
         ends = np.cumsum(sizes + 1) - 1  # places of the separators
         #: symbols as a doubly linked list over places; a separator is no symbol and never joined
@@ -124,9 +148,7 @@ class Matcher:
 
         def look(at: np.ndarray, length: np.ndarray) -> np.ndarray:
             """The piece of each span, or -1."""
-            key = at * top + length - 1
-            i = np.minimum(np.searchsorted(edge, key), max(0, len(edge) - 1))
-            return np.where((length <= top) & (edge[i] == key), piece[i], -1) if len(edge) else np.full(len(at), -1)
+            return np.where(length <= top, table[at * top + np.minimum(length, top) - 1], -1)
 
         is_end = np.zeros(n + 1, bool)
         is_end[ends] = is_end[n] = True
@@ -170,13 +192,13 @@ class Matcher:
         heads = np.flatnonzero((size > 0) & ~is_end[:n])
         owner, ids = unit_of[heads], np.where(symbol[heads] >= 0, v.ids[np.maximum(symbol[heads], 0)], -1)
         bounds = np.searchsorted(owner, np.arange(n_units + 1))
-        ids = ids.astype("<i4")
-        out = [ids[bounds[i] : bounds[i + 1]] for i in range(n_units)]
-        for i in np.unique(owner[ids < 0]).tolist():
+        raw = ids.astype("<i4").tobytes()
+        out = [raw[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        for i in dict.fromkeys(owner[ids < 0].tolist()):
             spelled: list[int] = []
             for k in range(bounds[i], bounds[i + 1]):
                 spelled += [int(ids[k])] if ids[k] >= 0 else self.spell(chr(codes[heads[k]]))
-            out[i] = np.array(spelled, "<i4")
+            out[i] = np.array(spelled, "<i4").tobytes()
         return out
 
     def spell(self, char: str) -> list[int]:
@@ -184,29 +206,13 @@ class Matcher:
         return [self.v.byte_ids[b] for b in raw] if all(b in self.v.byte_ids for b in raw) else [self.v.unknown]
 
 
-def _bound(rows: list[np.ndarray], keys: list[np.ndarray], right: bool) -> np.ndarray:
-    """Binary search of all keys at once in sorted rows of words: the first row not below, or above, each."""
-    lo, hi = np.zeros(len(keys[0]), np.int64), np.full(len(keys[0]), len(rows[0]), np.int64)
-    while (open_ := np.flatnonzero(lo < hi)).size:
-        mid = (lo[open_] + hi[open_]) >> 1
-        less, same = np.zeros(len(mid), bool), np.ones(len(mid), bool)
-        for r, k in zip(rows, keys):
-            a, b = r[mid], k[open_]
-            less |= same & (a < b)
-            same &= a == b
-        if right:
-            less |= same
-        lo[open_[less]] = mid[less] + 1
-        hi[open_[~less]] = mid[~less]
-    return lo
-
-
 class Codec:
-    """Encodes and decodes whole texts; keeps the ids of units in a cache of bounded size."""
+    """Encodes and decodes whole texts; keeps the ids of units in caches of bounded size."""
 
     def __init__(self, v: Vocabulary):
         self.v, self.matcher = v, Matcher(v)
-        self.cache: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         long = {c for p in v.normal if len(p) > 1 for c in p}
         #: single characters that stand in no longer piece end units, so that units stay short
         alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in long and chr(c) != " ")
@@ -221,14 +227,15 @@ class Codec:
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
         split = [self.units(t or "") for t in texts]
-        found = [list(map(self.cache.get, s)) for s in split]
+        found = [list(map(self.young.get, s)) for s in split]
         new = {u for s, f in zip(split, found) if None in f for u, x in zip(s, f) if x is None}
-        if len(self.cache) + len(new) > CACHE:
-            self.cache = {}
         if new:
-            ordered = sorted(new)
-            fresh = {u: ids.tobytes() for u, ids in zip(ordered, self.matcher.encode_units(ordered))}
-            self.cache.update(fresh)
+            if len(self.young) + len(new) > CACHE:
+                self.old, self.young = self.young, {}
+            fresh = {u: x for u in new if (x := self.old.get(u)) is not None}
+            rest = [u for u in new if u not in fresh]
+            fresh.update(zip(rest, self.matcher.encode_units(rest)))
+            self.young.update(fresh)
             found = [[fresh[u] if x is None else x for u, x in zip(s, f)] if None in f else f for s, f in zip(split, found)]
         return [b"".join(f) for f in found]
 
@@ -263,7 +270,7 @@ def tokenize(docs: DataFrame, model: str | None = None, text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(name)
-        for b in rows_of(batches):
+        for b in rows_of(batches, 4 << 20):
             at = b.schema.get_field_index("__text")
             texts = b.column(at).to_pylist()
             encoded = codec.encode(texts)
