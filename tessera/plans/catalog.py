@@ -2,13 +2,38 @@
 
 from __future__ import annotations
 
-_QUERIES: dict = {}
-_ORACLES: dict = {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def queries() -> dict:
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None):
+    """Registers a query under a name, with its SQL if SQL can express it."""
+
+    def put(f: Query) -> Query:
+        if name in _QUERIES:
+            raise ValueError(f"two queries of one name: {name}")
+        _QUERIES[name] = f
+        if oracle is not None:
+            _ORACLES[name] = oracle
+        return f
+
+    return put
+
+
+def _load() -> None:
+    from tessera.plans import cross, etl, expressions, pit, portfolio, provider, report  # noqa: F401
+
+
+def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
-def oracle_sql() -> dict:
+def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
