@@ -9,8 +9,8 @@ from tessera.plans.catalog import query
 from tessera.sources.driver import events_panel
 
 #: The events panel in DuckDB: d observed, cal, ins, g dense.
-GRID = """WITH d AS (SELECT CAST(user_id AS VARCHAR) AS instrument, CAST(ts AS DATE) AS datetime, first(value ORDER BY ts, event_id) AS open,
-  last(value ORDER BY ts, event_id) AS close, max(value) AS high, min(value) AS low, CAST(count(*) AS DOUBLE) AS volume, sum(value) AS amount,
+GRID = """WITH d AS (SELECT CAST(user_id AS VARCHAR) AS instrument, CAST(ts AS DATE) AS datetime, first(value * 0.3183098861837907 ORDER BY ts, event_id) AS open,
+  last(value * 0.3183098861837907 ORDER BY ts, event_id) AS close, max(value * 0.3183098861837907) AS high, min(value * 0.3183098861837907) AS low, CAST(count(*) AS DOUBLE) AS volume, sum(value * 0.3183098861837907) AS amount,
   max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS error FROM events GROUP BY 1, 2),
 cal AS (SELECT datetime, CAST(row_number() OVER (ORDER BY datetime) AS DOUBLE) AS pos FROM (SELECT DISTINCT datetime FROM d)),
 ins AS (SELECT DISTINCT instrument FROM d),
@@ -34,8 +34,8 @@ def expression_query(name: str, text: str, sql: str, boolean: bool = False) -> N
         return tidy(events_panel(spark, sf_dir).features({"value": text}))
 
 
-SHIFT = "($close - 50)"
-S = "(close - 50)"
+SHIFT = "($close - 7)"
+S = "(close - 7)"
 POINTWISE = {
     "abs": (f"Abs({SHIFT})", f"abs({S})"),
     "sign": (f"Sign({SHIFT})", f"CAST(sign({S}) AS DOUBLE)"),
@@ -48,29 +48,29 @@ POINTWISE = {
     "sub": ("Sub($close, $open)", "close - open"),
     "mul": ("Mul($close, $open)", "close * open"),
     "div": ("Div($close, $volume - 1)", "CASE WHEN volume <> 1 THEN close / nullif(volume - 1, 0) END"),
-    "greater": ("Greater($close, 50)", "CASE WHEN close IS NOT NULL THEN greatest(close, 50) END"),
+    "greater": ("Greater($close, 7)", "CASE WHEN close IS NOT NULL THEN greatest(close, 7) END"),
     "less": ("Less($close, $open)", "CASE WHEN close IS NOT NULL THEN least(close, open) END"),
     "if": ("If($close > $open, $high, $low)", "CASE WHEN coalesce(close > open, false) THEN high ELSE low END"),
     "if_missing": ("If($close, 1, 2)", "CASE WHEN close IS NULL OR close <> 0 THEN CAST(1 AS DOUBLE) ELSE 2 END"),
-    "clip": ("Clip($close, 20, 80)", "CASE WHEN close IS NOT NULL THEN least(greatest(close, 20), 80) END"),
-    "mod": (f"{SHIFT} % 7", f"{S} - floor({S} / 7) * 7"),
+    "clip": ("Clip($close, 3, 11)", "CASE WHEN close IS NOT NULL THEN least(greatest(close, 3), 11) END"),
+    "mod": (f"{SHIFT} % 3", f"{S} - floor({S} / 3) * 3"),
     "neg": ("-$close", "-close"),
     "nested_expr": ("Mean(Delta($close, 1) / Ref($close, 1), 5) - 1", "avg(r) OVER w5 - 1"),
 }
 BOOLEAN = {
     "gt": ("Gt($close, $open)", "coalesce(close > open, false)"),
-    "ge": ("$close >= 50", "coalesce(close >= 50, false)"),
+    "ge": ("$close >= 7", "coalesce(close >= 7, false)"),
     "lt": ("$close < $open", "coalesce(close < open, false)"),
-    "le": ("Le($close, 50)", "coalesce(close <= 50, false)"),
+    "le": ("Le($close, 7)", "coalesce(close <= 7, false)"),
     "eq": ("$volume == 1", "coalesce(volume = 1, false)"),
     "ne": ("Ne($volume, 1)", "coalesce(volume <> 1, true)"),
-    "and": ("And($close > 50, $volume > 1)", "coalesce(close > 50, false) AND coalesce(volume > 1, false)"),
-    "or": ("$close > 50 or $volume != 1", "coalesce(close > 50, false) OR coalesce(volume <> 1, true)"),
-    "not": ("~($close > 50)", "NOT coalesce(close > 50, false)"),
+    "and": ("And($close > 7, $volume > 1)", "coalesce(close > 7, false) AND coalesce(volume > 1, false)"),
+    "or": ("$close > 7 or $volume != 1", "coalesce(close > 7, false) OR coalesce(volume <> 1, true)"),
+    "not": ("~($close > 7)", "NOT coalesce(close > 7, false)"),
     "not_missing": ("Not($close)", "coalesce(close = 0, false)"),
     "isnull": ("IsNull($close)", "close IS NULL"),
     "isinf": ("IsInf(1 / ($volume - 1))", "coalesce(volume = 1, false)"),
-    "chained_compare": ("20 < $close <= 80", "coalesce(20 < close, false) AND coalesce(close <= 80, false)"),
+    "chained_compare": ("3 < $close <= 11", "coalesce(3 < close, false) AND coalesce(close <= 11, false)"),
 }
 VARIED = "min({x}) OVER {w} < max({x}) OVER {w}"
 ROLLING = {
@@ -81,8 +81,8 @@ ROLLING = {
     "max": ("Max($close, {n})", "max(close) OVER {w}"),
     "min": ("Min($close, {n})", "min(close) OVER {w}"),
     "med": ("Med($close, {n})", "median(close) OVER {w}"),
-    "skew": ("Skew($volume, {n})", "CASE WHEN count(volume) OVER {w} < 3 THEN NULL WHEN min(volume) OVER {w} = max(volume) OVER {w} THEN 0 ELSE skewness(volume) OVER {w} END"),
-    "kurt": ("Kurt($volume, {n})", "CASE WHEN count(volume) OVER {w} < 4 THEN NULL WHEN min(volume) OVER {w} = max(volume) OVER {w} THEN -3 ELSE kurtosis(volume) OVER {w} END"),
+    "skew": ("Skew($close, {n})", "CASE WHEN count(close) OVER {w} < 3 THEN NULL WHEN min(close) OVER {w} = max(close) OVER {w} THEN 0 ELSE skewness(close) OVER {w} END"),
+    "kurt": ("Kurt($close, {n})", "CASE WHEN count(close) OVER {w} < 4 THEN NULL WHEN min(close) OVER {w} = max(close) OVER {w} THEN -3 ELSE kurtosis(close) OVER {w} END"),
     "count": ("Count($close, {n})", "CAST(count(close) OVER {w} AS DOUBLE)"),
     "wma": ("WMA($close, {n})", "(sum(close * pos) OVER {w} - (min(pos) OVER {w} - 1) * sum(close) OVER {w}) / nullif(sum(CASE WHEN close IS NOT NULL THEN pos END) OVER {w} - (min(pos) OVER {w} - 1) * count(close) OVER {w}, 0)"),
     "quantile": ("Quantile($close, {n}, 0.25)", "quantile_cont(close, 0.25) OVER {w}"),

@@ -1 +1,146 @@
-"""Queries."""
+"""Queries of the provider: calendar, universes, adjustment, metadata and filters."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import filters as L
+from tessera.operators import grid as G
+from tessera.plans.catalog import query
+from tessera.plans.expressions import GRID, WINDOWS, tidy
+from tessera.sources.driver import events_panel, read
+from tessera.sources.files import read_table
+
+SEEN = "s AS (SELECT instrument, min(datetime) AS a, max(datetime) AS b FROM d GROUP BY 1)"
+CELLS = f"{GRID}, {SEEN}, m AS (SELECT g.* FROM g JOIN s ON s.instrument = g.instrument AND g.datetime BETWEEN a AND b)"
+
+
+@query("calendar_slice", f"{GRID} SELECT datetime, pos FROM cal WHERE datetime BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'")
+def calendar_slice(spark, sf_dir):
+    return G.between(events_panel(spark, sf_dir).calendar, "2024-01-05", "2024-01-20")
+
+
+@query("universe_intervals", f"{CELLS} SELECT instrument, datetime FROM m")
+def universe_intervals(spark, sf_dir):
+    return events_panel(spark, sf_dir).universe("all").select("instrument", "datetime")
+
+
+@query("universe_list", f"{GRID} SELECT instrument, datetime FROM g WHERE instrument IN ('1', '2', '3')")
+def universe_list(spark, sf_dir):
+    return events_panel(spark, sf_dir).universe(["1", "2", "3"]).select("instrument", "datetime")
+
+
+@query("universe_dict", f"{GRID} SELECT instrument, datetime FROM g WHERE instrument = '5' AND (datetime BETWEEN DATE '2024-01-03' AND DATE '2024-01-09' OR datetime >= DATE '2024-01-08')")
+def universe_dict(spark, sf_dir):
+    spans = {"5": [("2024-01-03", "2024-01-09"), ("2024-01-08", "2024-12-31"), (None, "2024-01-01")]}
+    return events_panel(spark, sf_dir).universe(spans).select("instrument", "datetime")
+
+
+@query("list_spans", f"""{GRID}, r AS (SELECT instrument, datetime, pos - row_number() OVER (PARTITION BY instrument ORDER BY pos) AS run FROM g WHERE error = 1)
+SELECT instrument, min(datetime) AS "start", max(datetime) AS "end" FROM r GROUP BY instrument, run""")
+def list_spans(spark, sf_dir):
+    return G.spans(events_panel(spark, sf_dir).universe("st"))
+
+
+@query("list_instruments", f"{GRID} SELECT DISTINCT instrument FROM g WHERE error = 1")
+def list_instruments(spark, sf_dir):
+    return events_panel(spark, sf_dir).universe("st").select("instrument").distinct()
+
+
+@query("markets", "SELECT 'all' AS market UNION SELECT 'st' UNION SELECT DISTINCT 'industry/' || c_mktsegment FROM customer JOIN events ON user_id = c_custkey")
+def markets(spark, sf_dir):
+    return events_panel(spark, sf_dir).intervals.select("market").distinct()
+
+
+ADJUSTED = "SELECT instrument, datetime, round({0}, 4) AS close, volume FROM {1}"
+
+
+@query("daily_none", f"{GRID} {ADJUSTED.format('close', 'g')}")
+def daily_none(spark, sf_dir):
+    return tidy(events_panel(spark, sf_dir).dense("close", "volume").drop("pos"))
+
+
+@query("daily_hfq", f"{GRID} {ADJUSTED.format('close * factor', 'g')}")
+def daily_hfq(spark, sf_dir):
+    return tidy(events_panel(spark, sf_dir).with_adjust("hfq").dense("close", "volume").select("instrument", "datetime", "close", "volume"))
+
+
+@query("daily_qfq", f"""{GRID}, a AS (SELECT instrument, arg_max(factor, pos) AS anchor FROM g WHERE factor > 0 AND datetime <= DATE '2024-01-18' GROUP BY 1)
+{ADJUSTED.format('close * factor / anchor', 'g LEFT JOIN a USING (instrument)')}""")
+def daily_qfq(spark, sf_dir):
+    return tidy(events_panel(spark, sf_dir).with_adjust("qfq", "2024-01-18").dense("close", "volume").select("instrument", "datetime", "close", "volume"))
+
+
+@query("daily_qfq_causal", f"""{GRID}, a AS (SELECT *, last_value(factor IGNORE NULLS) OVER e AS anchor FROM g {WINDOWS})
+SELECT a.instrument, a.datetime, round(avg(b.close * b.factor / a.anchor), 4) AS value FROM a JOIN g b ON b.instrument = a.instrument AND b.pos BETWEEN a.pos - 4 AND a.pos GROUP BY 1, 2""")
+def daily_qfq_causal(spark, sf_dir):
+    return tidy(G.causal_qfq(events_panel(spark, sf_dir), {"value": "Mean($close, 5)"}))
+
+
+@query("virtual_is_st", f"{GRID} SELECT instrument, datetime, coalesce(error = 1, false) AS is_st FROM g")
+def virtual_is_st(spark, sf_dir):
+    return G.is_st(events_panel(spark, sf_dir)).drop("pos")
+
+
+@query("virtual_list_days", f"{GRID}, {SEEN} SELECT g.instrument, g.datetime, CAST(date_diff('day', a, g.datetime) AS DOUBLE) AS list_days FROM g JOIN s ON s.instrument = g.instrument")
+def virtual_list_days(spark, sf_dir):
+    return G.list_days(events_panel(spark, sf_dir))
+
+
+@query("stock_basic_filter", f"{GRID}, {SEEN} SELECT s.instrument, c_name AS name, a AS list_date FROM s LEFT JOIN customer ON CAST(c_custkey AS VARCHAR) = s.instrument WHERE s.instrument IN ('7', '8', '14')")
+def stock_basic(spark, sf_dir):
+    return events_panel(spark, sf_dir).basic.where(F.col("instrument").isin("7", "8", "14")).select("instrument", "name", "list_date")
+
+
+@query("normal_code", "SELECT n_nationkey, 'SH' || lpad(CAST(n_nationkey AS VARCHAR), 6, '0') AS raw, lpad(CAST(n_nationkey AS VARCHAR), 6, '0') || '.SH' AS code FROM nation")
+def normal_code(spark, sf_dir):
+    d = read(spark, sf_dir, "nation").withColumn("raw", F.concat(F.lit("SH"), F.lpad(F.col("n_nationkey").cast("string"), 6, "0")))
+    return d.select("n_nationkey", "raw", G.normal_code(F.lower("raw")).alias("code"))
+
+
+@query("read_table", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation WHERE n_regionkey = 2")
+def csv_table(spark, sf_dir):
+    """A table written as CSV and read with a predicate on the text of a column."""
+    from tessera.sources.files import shared_dir
+
+    path = f"{shared_dir(spark, 'tessera-csv')}/nation"
+    read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").write.mode("overwrite").option("header", True).csv(path)
+    return read_table(spark, shared_dir(spark, "tessera-csv"), "nation", n_regionkey=2)
+
+
+@query("limits_by_daily_join", f"{GRID} SELECT instrument, datetime, round(close, 4) AS close, round(vwap, 4) AS vwap FROM g WHERE close IS NOT NULL")
+def daily_raw(spark, sf_dir):
+    return tidy(events_panel(spark, sf_dir).daily.select("instrument", "datetime", "close", "vwap"))
+
+
+def filter_query(name: str, make, where: str, adjust: str = "none") -> None:
+    @query(name, f"{CELLS} SELECT m.instrument, m.datetime FROM m {where}")
+    def run(spark, sf_dir):
+        p = events_panel(spark, sf_dir).with_adjust(adjust)
+        return make().apply(p, p.universe("all")).select("instrument", "datetime")
+
+
+SEGMENT = "JOIN customer ON CAST(c_custkey AS VARCHAR) = m.instrument AND c_mktsegment = 'BUILDING'"
+LISTED = "JOIN s USING (instrument)"
+filter_query("st_exclude", lambda: L.STFilter(), "WHERE coalesce(error, 0) <> 1")
+filter_query("st_only", lambda: L.STFilter(exclude=False), "WHERE error = 1")
+filter_query("listing_days", lambda: L.ListingDaysFilter(3, 20), f"{LISTED} WHERE date_diff('day', a, datetime) BETWEEN 3 AND 20 AND (CAST(instrument AS BIGINT) % 7 <> 0 OR datetime < b + 1)")
+filter_query("listing_trading_days", lambda: L.ListingDaysFilter(3, None, True), f"{LISTED} JOIN cal c ON c.datetime = a WHERE m.pos - c.pos >= 3 AND (CAST(instrument AS BIGINT) % 7 <> 0 OR m.datetime < b + 1)")
+filter_query("membership", lambda: L.MembershipFilter("st"), "WHERE error = 1")
+filter_query("industry", lambda: L.IndustryFilter("BUILDING"), SEGMENT)
+filter_query("name_regex", lambda: L.NameDFilter("1[0-4]"), "WHERE regexp_matches(m.instrument, '^1[0-4]')")
+filter_query("tradable", lambda: L.TradableFilter(), "WHERE open > 0 AND close > 0 AND volume > 0")
+MEAN = f"JOIN (SELECT instrument, datetime, avg(close) OVER w5 AS mean FROM g {WINDOWS}) x ON x.instrument = m.instrument AND x.datetime = m.datetime"
+filter_query("expression_filter", lambda: L.ExpressionFilter("$close > Mean($close, 5)"), f"{MEAN} WHERE close > mean")
+filter_query("expression_window", lambda: L.ExpressionDFilter("$close > Mean($close, 5)", "2024-01-10", "2024-01-15"), f"{MEAN} WHERE close > mean OR m.datetime < DATE '2024-01-10' OR m.datetime > DATE '2024-01-15'")
+filter_query("composite_and", lambda: L.STFilter() & L.TradableFilter(), "WHERE coalesce(error, 0) <> 1 AND open > 0 AND close > 0 AND volume > 0")
+filter_query("composite_or", lambda: L.STFilter(False) | L.NameDFilter("1"), "WHERE error = 1 OR m.instrument LIKE '1%'")
+filter_query("composite_not", lambda: ~L.IndustryFilter("BUILDING"), "WHERE m.instrument NOT IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_mktsegment = 'BUILDING')")
+
+
+@query("filter_pipe", f"{CELLS} SELECT instrument, datetime FROM m WHERE coalesce(error, 0) <> 1 AND instrument LIKE '1%'")
+def filter_pipe(spark, sf_dir):
+    p = events_panel(spark, sf_dir)
+    return L.pipe(p, p.universe("all"), [{"filter_type": "STFilter"}, {"class": "NameDFilter", "kwargs": {"pattern": "1"}}]).select("instrument", "datetime")
+
+
