@@ -25,7 +25,7 @@ from ._common import Scratch, remainder, rows_of
 from .neardup import _BLANK, _LOW, _mix, _Powers
 
 #: Tokens of a block; a text that is longer has a block of its own.
-BLOCK = 4_000_000
+BLOCK = 2_500_000
 #: Counts up to this are discounted.
 CUT = 5
 START = (1 << 32) - 1
