@@ -1,5 +1,150 @@
-"""Point in time."""
+"""Point-in-time records: snapshots, revisions and projections on announcement dates.
 
+A record is instrument, field, ann_date, period (YYYYQQ), value. A NaN value is a revision that takes the
+value back, unlike no record; so values travel in structs and become missing only at the end."""
 
-def keep_last(df):
-    return df
+from __future__ import annotations
+
+import ast
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tessera.functions import expression as E
+
+KEY = ("instrument", "field", "period", "ann_date")
+
+
+def ordinal(period: Column) -> Column:
+    """Quarters counted through: 202301 and 202302 are neighbours, and so are 202304 and 202401."""
+    return (F.floor(period / 100) * 4 + period % 100 - 1).cast("int")
+
+
+def valid(records: DataFrame) -> DataFrame:
+    """The records; one of an impossible period, without a date or with an infinite value raises when read."""
+    ok = F.col("period").between(190001, 999904) & (F.col("period") % 100).between(1, 4) & F.col("ann_date").isNotNull() & ~F.coalesce(F.abs("value") == E.INF, F.lit(False))
+    return records.withColumn("period", F.when(ok, F.col("period")).otherwise(F.raise_error(F.lit("not a record")).cast("int")))
+
+
+def keep_last(records: DataFrame, order: str = "seq") -> DataFrame:
+    """One record of each key: the last by order."""
+    one = records.groupBy(*KEY).agg(F.max_by(F.struct("value"), order)["value"].alias("value"))
+    return one.select("instrument", "field", "ann_date", "period", "value")
+
+
+def write(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    """Old and new records together; of equal keys the new one stays, of equal new ones that of the greater seq."""
+    rows = valid(new).select(*KEY, "value", F.lit(1).alias("batch"), "seq")
+    if old is not None:
+        rows = rows.unionByName(old.select(*KEY, "value", F.lit(0).alias("batch"), F.lit(0).cast("long").alias("seq")))
+    return keep_last(rows.withColumn("at", F.struct("batch", "seq")), "at")
+
+
+def resolve(names: Sequence[str], asked: str) -> str:
+    """A field by its name, or by the last part of a dotted one if only one fits."""
+    if asked in names:
+        return asked
+    fit = [n for n in names if n.endswith(f".{asked}")]
+    if len(fit) != 1:
+        raise KeyError(f"no such field, or several: {asked}")
+    return fit[0]
+
+
+def snapshot(records: DataFrame, fields: Sequence[str], asof, periods: Sequence[int] | None = None) -> DataFrame:
+    """instrument, period and a column for each field: the last version announced up to a date."""
+    rows = records.where(F.col("field").isin(list(fields)) & (F.col("ann_date") <= F.lit(asof).cast("date")))
+    last = rows.groupBy("instrument", "period", "field").agg(F.max_by(F.struct("value"), "ann_date")["value"].alias("value"))
+    wide = last.groupBy("instrument", "period").pivot("field", list(fields)).agg(F.first("value"))
+    if periods is not None:
+        asked = F.explode(F.array(*(F.lit(p) for p in periods))).alias("period")
+        wide = rows.select("instrument").distinct().select("instrument", asked).join(wide, ["instrument", "period"], "left")
+    return wide
+
+
+def history(records: DataFrame, instruments: Sequence[str], field: str, asof) -> DataFrame:
+    """All revisions of a field up to a date."""
+    return records.where(F.col("instrument").isin(list(instruments)) & (F.col("field") == field) & (F.col("ann_date") <= F.lit(asof).cast("date")))
+
+
+def _events(records: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Announcement dates of any of the fields, with the first and last quarter seen so far."""
+    rows = records.where(F.col("field").isin(list(fields))).withColumn("ord", ordinal(F.col("period")))
+    days = rows.groupBy("instrument", "ann_date").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"))
+    w = Window.partitionBy("instrument").orderBy("ann_date").rowsBetween(Window.unboundedPreceding, 0)
+    return days.select("instrument", F.col("ann_date").alias("event"), F.min("lo").over(w).alias("lo"), F.max("hi").over(w).alias("hi"))
+
+
+def _versions(events: DataFrame, records: DataFrame, field: str) -> DataFrame:
+    """For events with a quarter ord: the field's last version of that quarter as of the event."""
+    rows = records.where(F.col("field") == field).select("instrument", ordinal(F.col("period")).alias("ord"), "ann_date", "value")
+    hit = events.join(rows, ["instrument", "ord"]).where("ann_date <= event")
+    return hit.groupBy("instrument", "event", "ord").agg(F.max_by(F.struct("value"), "ann_date")["value"].alias("value"))
+
+
+def on_calendar(events: DataFrame, grid: DataFrame) -> DataFrame:
+    """instrument, datetime, value: the last event's value on or before each calendar row.
+
+    An event without a value takes the value before it back; one on a day without trade counts on the next."""
+    rows = grid.select("instrument", "datetime", F.lit(1).alias("kind"), F.lit(None).cast("struct<value:double>").alias("v"))
+    told = events.select("instrument", F.col("event").alias("datetime"), F.lit(0).alias("kind"), F.struct(F.col("value").cast("double").alias("value")).alias("v"))
+    w = Window.partitionBy("instrument").orderBy("datetime", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.unionByName(told).withColumn("v", F.last("v", ignorenulls=True).over(w))
+    return both.where("kind = 1").select("instrument", "datetime", E.finite(E.no_nan(F.col("v.value"))).alias("value"))
+
+
+def projection(records: DataFrame, node: ast.Call) -> DataFrame:
+    """instrument, event, value of P(...) or PRef(..., k) at each announcement date.
+
+    Of a plain field: the value of the greatest quarter ever announced, plus k. Of an expression: it runs
+    on the quarters from the first to the last one seen, as known on that date, and its value there is taken."""
+    inner = node.args[0] if node.func.id in ("P", "PRef") else node
+    k = E._integer(node.args[1]) if node.func.id == "PRef" else 0
+    names = sorted({n.args[0].value for n in E.calls(inner, "pitfield")})
+    events = _events(records, names)
+    if isinstance(inner, ast.Call) and inner.func.id == "pitfield":
+        asked = events.select("instrument", "event", (F.col("hi") + k).alias("ord"))
+        return asked.join(_versions(asked, records, names[0]), ["instrument", "event", "ord"], "left").select("instrument", "event", "value")
+    grid = events.select("instrument", "event", "hi", F.explode(F.sequence("lo", "hi")).alias("ord"))
+    special = {}
+    for i, n in enumerate(names):
+        v = _versions(grid.select("instrument", "event", "ord"), records, n).select("instrument", "event", "ord", E.no_nan(F.col("value")).alias(f"__p{i}"))
+        grid = grid.join(v, ["instrument", "event", "ord"], "left")
+        special.update({ast.dump(c): f"__p{i}" for c in E.calls(inner, "pitfield") if c.args[0].value == n})
+    c = E.Context(grid.withColumn("pos", F.col("ord").cast("double")), ("instrument", "event"), "pos", special)
+    value = c.lower(inner).num
+    at = c.df.withColumn("value", value).where(F.col("ord") == F.col("hi") + k).select("instrument", "event", "value")
+    return events.select("instrument", "event").join(at, ["instrument", "event"], "left")
+
+
+def project(records: DataFrame, grid: DataFrame, expressions: dict[str, str]) -> DataFrame:
+    """Expressions that hold P, PRef or bare $$ fields over a dense grid (instrument, datetime, pos, fields)."""
+    special: dict[str, str] = {}
+    for text in expressions.values():
+        tree = E.parse(text)
+        E.check_pit(tree)
+        inside = {id(x) for c in E.calls(tree, "P", "PRef") for x in ast.walk(c.args[0])}
+        for node in (n for n in E.calls(tree, "P", "PRef", "pitfield") if id(n) not in inside):
+            if (key := ast.dump(node)) not in special:
+                special[key] = f"__s{len(special)}"
+                series = on_calendar(projection(records, node), grid).withColumnRenamed("value", special[key])
+                grid = grid.join(series, ["instrument", "datetime"], "left")
+    return E.evaluate(grid, expressions, special=special)
+
+
+def register_fields(old: DataFrame | None, new: DataFrame, replace: bool = False) -> DataFrame:
+    """The registry field_id, name, unit, basis with new names added; ids are stable, other metadata of a
+    known name raises. replace: names that are not in new go."""
+    meta = ("unit", "basis")
+    if old is None:
+        return new.select(F.row_number().over(Window.orderBy("name")).alias("field_id"), "name", *meta)
+    both = old.join(new.select("name", *(F.col(m).alias(f"new_{m}") for m in meta), F.lit(True).alias("given")), "name", "full_outer")
+    differs = F.col("given") & F.col("field_id").isNotNull() & ~(F.col("unit").eqNullSafe(F.col("new_unit")) & F.col("basis").eqNullSafe(F.col("new_basis")))
+    both = both.withColumn("name", F.when(F.coalesce(differs, F.lit(False)), F.raise_error(F.lit("metadata of a field don't change"))).otherwise(F.col("name")))
+    top = old.agg(F.coalesce(F.max("field_id"), F.lit(0)).alias("top"))
+    fresh = Window.partitionBy(F.col("field_id").isNull()).orderBy("name")
+    out = both.crossJoin(F.broadcast(top)).select(
+        F.when(F.col("field_id").isNull(), F.col("top") + F.row_number().over(fresh)).otherwise(F.col("field_id")).alias("field_id"), "name", *(F.coalesce(m, f"new_{m}").alias(m) for m in meta), "given"
+    )
+    return (out.where("given") if replace else out).drop("given")

@@ -1 +1,87 @@
-"""Queries."""
+"""Queries of point-in-time records."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import grid as G
+from tessera.operators import pit as P
+from tessera.plans.catalog import query
+from tessera.plans.expressions import tidy
+from tessera.sources.driver import pit_records, read
+
+PIT = """WITH r AS (SELECT CAST(o_custkey AS VARCHAR) AS instrument, lower(o_orderstatus) AS field, CAST(o_orderdate AS DATE) AS ann_date,
+  year(o_orderdate - INTERVAL 3 MONTH) * 100 + quarter(o_orderdate - INTERVAL 3 MONTH) AS period, o_totalprice AS value, o_orderkey AS seq FROM orders WHERE o_custkey < 400),
+p AS (SELECT instrument, field, ann_date, period, arg_max(value, seq) AS value FROM r GROUP BY 1, 2, 3, 4),
+q AS (SELECT *, period // 100 * 4 + period % 100 - 1 AS ord FROM p),
+c AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS datetime FROM orders WHERE day(o_orderdate) IN (1, 15)),
+g AS (SELECT instrument, datetime FROM (SELECT DISTINCT instrument FROM p) CROSS JOIN c)"""
+
+
+def grid(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("datetime")).where("day(datetime) in (1, 15)")
+    return pit_records(spark, sf_dir).select("instrument").distinct().crossJoin(F.broadcast(G.with_positions(o)))
+
+
+@query("pit_dedup_write", f"{PIT} SELECT instrument, field, ann_date, period, value FROM p")
+def dedup(spark, sf_dir):
+    return pit_records(spark, sf_dir)
+
+
+@query("pit_write_update", f"{PIT} SELECT instrument, field, ann_date, period, CASE WHEN field = 'o' THEN -value ELSE value END AS value FROM p")
+def update(spark, sf_dir):
+    old = pit_records(spark, sf_dir)
+    return P.write(old, old.where("field = 'o'").withColumn("value", -F.col("value")).withColumn("seq", F.lit(1).cast("long")))
+
+
+@query("pit_history", f"{PIT} SELECT instrument, field, ann_date, period, value FROM p WHERE instrument IN ('1', '2', '4') AND field = 'f' AND ann_date <= DATE '1997-06-30'")
+def history(spark, sf_dir):
+    return P.history(pit_records(spark, sf_dir), ["1", "2", "4"], "f", "1997-06-30")
+
+
+SNAP = f"""{PIT}, l AS (SELECT instrument, period, field, arg_max(value, ann_date) AS value FROM p WHERE ann_date <= DATE '1997-06-30' AND field IN ('f', 'o') GROUP BY 1, 2, 3)"""
+
+
+@query("pit_snapshot", f"{SNAP} SELECT instrument, period, max(CASE WHEN field = 'f' THEN value END) AS f, max(CASE WHEN field = 'o' THEN value END) AS o FROM l GROUP BY 1, 2")
+def snapshot(spark, sf_dir):
+    return P.snapshot(pit_records(spark, sf_dir), ["f", "o"], "1997-06-30")
+
+
+@query("pit_snapshot_periods", f"""{SNAP}, w AS (SELECT instrument, period, max(CASE WHEN field = 'f' THEN value END) AS f, max(CASE WHEN field = 'o' THEN value END) AS o FROM l GROUP BY 1, 2)
+SELECT i.instrument, CAST(a.period AS INTEGER) AS period, f, o FROM (SELECT DISTINCT instrument FROM l) i CROSS JOIN (VALUES (199601), (199602), (199704)) AS a(period)
+LEFT JOIN w ON w.instrument = i.instrument AND w.period = a.period""")
+def snapshot_periods(spark, sf_dir):
+    return P.snapshot(pit_records(spark, sf_dir), ["f", "o"], "1997-06-30", [199601, 199602, 199704])
+
+
+def _last(field: str) -> str:
+    return f"h_{field} AS (SELECT g.instrument, g.datetime, max(q.ord) AS hi FROM g JOIN q ON q.instrument = g.instrument AND q.field = '{field}' AND q.ann_date <= g.datetime GROUP BY 1, 2)"
+
+
+def _slot(field: str, k: int) -> str:
+    return f"""(SELECT h.instrument, h.datetime, arg_max(q.value, q.ann_date) AS value FROM h_{field} h
+JOIN q ON q.instrument = h.instrument AND q.field = '{field}' AND q.ord = h.hi + ({k}) AND q.ann_date <= h.datetime GROUP BY 1, 2)"""
+
+
+def projection_query(name: str, text: str, ctes: str, joins: str, value: str) -> None:
+    @query(name, f"{PIT}, {ctes} SELECT g.instrument, g.datetime, round({value}, 4) AS value FROM g {joins}")
+    def run(spark, sf_dir):
+        return tidy(P.project(pit_records(spark, sf_dir), grid(spark, sf_dir), {"value": text}))
+
+
+JOIN = "LEFT JOIN {0} {1} ON {1}.instrument = g.instrument AND {1}.datetime = g.datetime"
+projection_query("pit_p_raw", "P($$f)", _last("f"), JOIN.format(_slot("f", 0), "x"), "x.value")
+projection_query("pit_bare_field", "$$f * 1", _last("f"), JOIN.format(_slot("f", 0), "x"), "x.value")
+projection_query("pit_pref", "PRef($$f, -1)", _last("f"), JOIN.format(_slot("f", -1), "x"), "x.value")
+projection_query("pit_daily_mix", "P($$o) / P($$f) + PRef($$f, 0)", f"{_last('f')}, {_last('o')}", JOIN.format(_slot("f", 0), "x") + " " + JOIN.format(_slot("o", 0), "y"), "y.value / x.value + x.value")
+AXIS = f"""{_last("f")}, v AS (SELECT h.instrument, h.datetime, q.ord, h.hi, arg_max(q.value, q.ann_date) AS value FROM h_f h
+JOIN q ON q.instrument = h.instrument AND q.field = 'f' AND q.ann_date <= h.datetime GROUP BY 1, 2, 3, 4),
+m AS (SELECT instrument, datetime, avg(value) FILTER (WHERE ord >= hi - 2) AS m0, avg(value) FILTER (WHERE ord BETWEEN hi - 3 AND hi - 1) AS m1, min(ord) AS lo, max(hi) AS hi FROM v GROUP BY 1, 2)"""
+projection_query("pit_p_expr", "P(Mean($$f, 3))", AXIS, JOIN.format("m", "x"), "x.m0")
+projection_query("pit_pref_expr", "PRef(Mean($$f, 3), -1)", AXIS, JOIN.format("m", "x"), "CASE WHEN x.hi - 1 >= x.lo THEN x.m1 END")
+
+
+@query("pit_register_fields", "SELECT CAST(1 AS INTEGER) AS field_id, 'f' AS name, 'yuan' AS unit, 'single' AS basis UNION ALL SELECT 2, 'o', 'yuan', 'single' UNION ALL SELECT 3, 'p', 'share', 'total'")
+def registry(spark, sf_dir):
+    old = P.register_fields(None, spark.createDataFrame([("o", "yuan", "single"), ("f", "yuan", "single")], "name string, unit string, basis string"))
+    return P.register_fields(old, spark.createDataFrame([("p", "share", "total"), ("f", "yuan", "single")], "name string, unit string, basis string"))
