@@ -1 +1,193 @@
-"""Queries."""
+"""Queries of cross-sectional analytics on the events panel: factors alpha and size, labels of 1 and 3 days."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import cross as C
+from tessera.plans.catalog import query
+from tessera.plans.expressions import GRID, WINDOWS, tidy
+from tessera.sources.driver import events_panel
+
+#: f: factor panel with exposures; y: labels; z: factor, horizon, datetime, instrument, value, label.
+BASE = f"""{GRID}, f AS (SELECT g.instrument, g.datetime, g.pos, close - lag(close, 1) OVER (PARTITION BY g.instrument ORDER BY g.pos) AS alpha,
+  avg(volume) OVER (PARTITION BY g.instrument ORDER BY g.pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS size, c_acctbal AS cap, c_mktsegment AS industry
+  FROM g LEFT JOIN customer ON CAST(c_custkey AS VARCHAR) = g.instrument),
+y AS (SELECT instrument, datetime, lead(close, 2) OVER w / lead(close, 1) OVER w - 1 AS return_1, lead(close, 4) OVER w / lead(close, 1) OVER w - 1 AS return_3 FROM g {WINDOWS}),
+v AS (SELECT 'alpha' AS factor, instrument, datetime, alpha AS value FROM f UNION ALL SELECT 'size', instrument, datetime, size FROM f),
+z AS (SELECT v.*, h.horizon, CASE WHEN horizon = 1 THEN return_1 ELSE return_3 END AS label FROM v CROSS JOIN (VALUES (1), (3)) AS h(horizon) JOIN y USING (instrument, datetime))"""
+NAMES, HORIZONS = ["alpha", "size"], [1, 3]
+
+
+def factors(spark, sf_dir):
+    p = events_panel(spark, sf_dir)
+    d = p.features({"alpha": "Delta($close, 1)", "size": "Mean($volume, 5)"})
+    segment = p.intervals.where("market like 'industry/%'").select("instrument", F.substring("market", 10, 99).alias("industry"))
+    return p, d.join(p.extra["cap"].join(segment, "instrument"), "instrument", "left")
+
+
+def labelled(spark, sf_dir):
+    p, d = factors(spark, sf_dir)
+    return C.long_form(d, NAMES, C.forward_returns(p, HORIZONS), HORIZONS)
+
+
+def single(spark, sf_dir):
+    return C.long_form(factors(spark, sf_dir)[1], NAMES)
+
+
+DAY = "OVER (PARTITION BY datetime)"
+
+
+@query("forward_returns", f"{BASE} SELECT instrument, datetime, round(return_1, 4) AS return_1, round(return_3, 4) AS return_3 FROM y")
+def forward_returns(spark, sf_dir):
+    return tidy(C.forward_returns(events_panel(spark, sf_dir), HORIZONS))
+
+
+def panel_query(name: str, sql: str, apply) -> None:
+    @query(name, f"{BASE} {sql}")
+    def run(spark, sf_dir):
+        return tidy(apply(factors(spark, sf_dir)[1]).select("instrument", "datetime", "alpha"))
+
+
+panel_query("winsorize_std", f"SELECT instrument, datetime, round(least(greatest(alpha, avg(alpha) {DAY} - 2 * stddev_pop(alpha) {DAY}), CASE WHEN alpha IS NOT NULL THEN avg(alpha) {DAY} + 2 * stddev_pop(alpha) {DAY} END), 4) * CASE WHEN alpha IS NULL THEN NULL ELSE 1 END AS alpha FROM f",
+            lambda d: C.winsorize(d, ["alpha"], "std", 2.0))
+panel_query("winsorize_mad", f""", m AS (SELECT *, median(alpha) {DAY} AS md FROM f), k AS (SELECT *, 1.4826 * median(abs(alpha - md)) {DAY} AS mad FROM m)
+SELECT instrument, datetime, CASE WHEN alpha IS NOT NULL THEN round(least(greatest(alpha, md - 3 * mad), md + 3 * mad), 4) END AS alpha FROM k""",
+            lambda d: C.winsorize(d, ["alpha"], "mad"))
+panel_query("standardize", f"SELECT instrument, datetime, CASE WHEN alpha IS NULL THEN NULL WHEN min(alpha) {DAY} = max(alpha) {DAY} THEN 0 ELSE round((alpha - avg(alpha) {DAY}) / nullif(stddev_pop(alpha) {DAY}, 0), 4) END AS alpha FROM f",
+            lambda d: C.standardize(d, ["alpha"]))
+
+
+def _neutral(source: str, name: str = "n") -> str:
+    return f"""{name}0 AS (SELECT *, alpha IS NOT NULL AND cap > 0 AND industry IS NOT NULL AS u FROM {source}),
+{name}1 AS (SELECT *, alpha - avg(alpha) OVER i AS ty, ln(cap) - avg(ln(cap)) OVER i AS tx FROM (SELECT * FROM {name}0 WHERE u) WINDOW i AS (PARTITION BY datetime, industry)),
+{name}2 AS (SELECT datetime, sum(tx * ty) / nullif(sum(tx * tx), 0) AS b, count(*) AS n, count(DISTINCT industry) + 1 AS k FROM {name}1 GROUP BY 1),
+{name} AS (SELECT a.instrument, a.datetime, CASE WHEN n >= 3 AND n > k THEN ty - b * tx END AS alpha FROM {name}0 a LEFT JOIN {name}1 USING (instrument, datetime) LEFT JOIN {name}2 ON {name}2.datetime = a.datetime)"""
+
+
+panel_query("neutralize", f", {_neutral('f')} SELECT instrument, datetime, round(alpha, 4) AS alpha FROM n", lambda d: C.neutralize(d, ["alpha"]))
+panel_query("preprocess", f""", wz AS (SELECT * EXCLUDE (alpha), CASE WHEN alpha IS NOT NULL THEN least(greatest(alpha, avg(alpha) {DAY} - 3 * stddev_pop(alpha) {DAY}), avg(alpha) {DAY} + 3 * stddev_pop(alpha) {DAY}) END AS alpha FROM f),
+{_neutral('wz')} SELECT instrument, datetime, CASE WHEN alpha IS NULL THEN NULL WHEN min(alpha) {DAY} = max(alpha) {DAY} THEN 0 ELSE round((alpha - avg(alpha) {DAY}) / nullif(stddev_pop(alpha) {DAY}, 0), 4) END AS alpha FROM n""",
+            lambda d: C.preprocess(d, ["alpha"]))
+
+Q = """, qd AS (SELECT factor, datetime, count(DISTINCT value) AS nd, count(value) AS n FROM v GROUP BY 1, 2),
+qr AS (SELECT v.*, rank() OVER (PARTITION BY factor, datetime ORDER BY value) + (count(*) OVER (PARTITION BY factor, datetime, value) - 1) / 2.0 AS r FROM v WHERE value IS NOT NULL),
+qm AS (SELECT factor, instrument, datetime, value, CASE WHEN nd >= 5 THEN CAST(floor((r - 1) * 5 / n) AS INTEGER) + 1 END AS quantile FROM qr JOIN qd USING (factor, datetime))"""
+
+
+@query("quantile_membership", f"{BASE} {Q} SELECT factor, instrument, datetime, quantile FROM qm")
+def membership(spark, sf_dir):
+    return C.quantiles(single(spark, sf_dir)).select("factor", "instrument", "datetime", "quantile")
+
+
+def _corr(x: str, y: str) -> str:
+    return f"CASE WHEN min({x}) < max({x}) AND min({y}) < max({y}) THEN covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0) END"
+
+
+PAIRS = f""", zp AS (SELECT *, rank() OVER (PARTITION BY factor, horizon, datetime ORDER BY value) + (count(*) OVER (PARTITION BY factor, horizon, datetime, value) - 1) / 2.0 AS rv,
+  rank() OVER (PARTITION BY factor, horizon, datetime ORDER BY label) + (count(*) OVER (PARTITION BY factor, horizon, datetime, label) - 1) / 2.0 AS rl FROM z WHERE value IS NOT NULL AND label IS NOT NULL),
+zi AS (SELECT factor, horizon, datetime, {_corr("value", "label")} AS ic, {_corr("rv", "rl")} AS rank_ic FROM zp GROUP BY 1, 2, 3),
+zk AS (SELECT DISTINCT factor, horizon, datetime FROM z)"""
+KEYS = "zk.factor, zk.horizon, zk.datetime"
+LEFT = "LEFT JOIN {0} ON {0}.factor = zk.factor AND {0}.horizon = zk.horizon AND {0}.datetime = zk.datetime"
+
+
+@query("ic", f"{BASE} {PAIRS} SELECT {KEYS}, round(ic, 4) AS ic FROM zk {LEFT.format('zi')}")
+def ic(spark, sf_dir):
+    return tidy(C.information(labelled(spark, sf_dir)).select("factor", "horizon", "datetime", "ic"))
+
+
+@query("rank_ic", f"{BASE} {PAIRS} SELECT {KEYS}, round(rank_ic, 4) AS rank_ic FROM zk {LEFT.format('zi')}")
+def rank_ic(spark, sf_dir):
+    return tidy(C.information(labelled(spark, sf_dir)).select("factor", "horizon", "datetime", "rank_ic"))
+
+
+def _ls(alpha: bool) -> str:
+    x = "label - avg(label) OVER (PARTITION BY factor, horizon, datetime)" if alpha else "label"
+    return f""", l0 AS (SELECT *, floor(count(*) OVER p * CAST(0.2 AS DOUBLE)) AS k, row_number() OVER (PARTITION BY factor, horizon, datetime ORDER BY value DESC, instrument) AS top,
+  row_number() OVER (PARTITION BY factor, horizon, datetime ORDER BY value, instrument) AS low, {x} AS x FROM z WHERE value IS NOT NULL WINDOW p AS (PARTITION BY factor, horizon, datetime)),
+ls AS (SELECT factor, horizon, datetime, (avg(CASE WHEN top <= k THEN label END) - avg(CASE WHEN low <= k THEN label END)) / 2 AS long_short_return,
+  avg(CASE WHEN top <= k AND label IS NOT NULL THEN CAST(x > 0 AS DOUBLE) END) AS long_precision, avg(CASE WHEN low <= k AND label IS NOT NULL THEN CAST(x < 0 AS DOUBLE) END) AS short_precision FROM l0 GROUP BY 1, 2, 3),
+zk AS (SELECT factor, horizon, datetime, avg(label) AS universe_return FROM z GROUP BY 1, 2, 3)"""
+
+
+@query("long_short_return", f"{BASE} {_ls(False)} SELECT {KEYS}, round(universe_return, 4) AS universe_return, round(long_short_return, 4) AS long_short_return FROM zk {LEFT.format('ls')}")
+def long_short_return(spark, sf_dir):
+    return tidy(C.long_short(labelled(spark, sf_dir)).select("factor", "horizon", "datetime", "universe_return", "long_short_return"))
+
+
+for _name, _alpha in (("long_short_precision", False), ("long_short_alpha", True)):
+
+    @query(_name, f"{BASE} {_ls(_alpha)} SELECT {KEYS}, round(long_precision, 4) AS long_precision, round(short_precision, 4) AS short_precision FROM zk {LEFT.format('ls')}")
+    def precision(spark, sf_dir, alpha=_alpha):
+        return tidy(C.long_short(labelled(spark, sf_dir), alpha=alpha).select("factor", "horizon", "datetime", "long_precision", "short_precision"))
+
+
+AUTO = f""", ad AS (SELECT factor, datetime, lag(datetime) OVER (PARTITION BY factor ORDER BY datetime) AS before FROM (SELECT DISTINCT factor, datetime FROM v)),
+ap AS (SELECT v.factor, v.datetime, v.value, o.value AS old FROM v JOIN ad ON ad.factor = v.factor AND ad.datetime = v.datetime
+  JOIN v o ON o.factor = v.factor AND o.datetime = ad.before AND o.instrument = v.instrument WHERE v.value IS NOT NULL AND o.value IS NOT NULL),
+ac AS (SELECT factor, datetime, {_corr("value", "old")} AS autocorrelation FROM ap GROUP BY 1, 2)"""
+
+
+@query("autocorr", f"{BASE} {AUTO} SELECT ad.factor, ad.datetime, round(autocorrelation, 4) AS autocorrelation FROM ad LEFT JOIN ac ON ac.factor = ad.factor AND ac.datetime = ad.datetime")
+def autocorr(spark, sf_dir):
+    return tidy(C.autocorrelation(single(spark, sf_dir)))
+
+
+TURN = """, td AS (SELECT factor, datetime, lag(datetime) OVER (PARTITION BY factor ORDER BY datetime) AS before FROM (SELECT DISTINCT factor, datetime FROM qm)),
+tn AS (SELECT * FROM qm WHERE quantile IS NOT NULL),
+tv AS (SELECT a.factor, a.datetime, a.quantile, CASE WHEN max(CASE WHEN h.factor IS NOT NULL THEN 1 END) = 1 THEN 1 - count(o.instrument) / CAST(count(*) AS DOUBLE) END AS turnover
+  FROM tn a JOIN td ON td.factor = a.factor AND td.datetime = a.datetime
+  LEFT JOIN tn o ON o.factor = a.factor AND o.datetime = td.before AND o.quantile = a.quantile AND o.instrument = a.instrument
+  LEFT JOIN (SELECT DISTINCT factor, datetime, quantile FROM tn) h ON h.factor = a.factor AND h.datetime = td.before AND h.quantile = a.quantile GROUP BY 1, 2, 3)"""
+
+
+@query("turnover", f"{BASE} {Q} {TURN} SELECT factor, datetime, quantile, round(turnover, 4) AS turnover FROM tv")
+def turnover(spark, sf_dir):
+    return tidy(C.turnover(C.quantiles(single(spark, sf_dir))))
+
+
+COVER = """, cv AS (SELECT factor, horizon, datetime, count(*) AS universe_count, count(value) AS factor_count, count(CASE WHEN value IS NOT NULL AND label IS NOT NULL THEN 1 END) AS pair_count,
+  count(value) / CAST(count(*) AS DOUBLE) AS coverage, count(CASE WHEN value IS NOT NULL AND label IS NOT NULL THEN 1 END) / CAST(count(*) AS DOUBLE) AS pair_coverage FROM z GROUP BY 1, 2, 3)"""
+
+
+@query("coverage", f"{BASE} {COVER} SELECT factor, horizon, datetime, universe_count, factor_count, pair_count, round(coverage, 4) AS coverage, round(pair_coverage, 4) AS pair_coverage FROM cv")
+def coverage(spark, sf_dir):
+    return tidy(C.coverage(labelled(spark, sf_dir)))
+
+
+@query("quantile_returns", f"""{BASE} {Q} SELECT z.factor, z.horizon, z.datetime, quantile, count(label) AS count, round(avg(label), 4) AS mean, round(stddev_samp(label), 4) AS std
+FROM z JOIN qm ON qm.factor = z.factor AND qm.instrument = z.instrument AND qm.datetime = z.datetime WHERE quantile IS NOT NULL GROUP BY 1, 2, 3, 4""")
+def quantile_returns(spark, sf_dir):
+    p, d = factors(spark, sf_dir)
+    return tidy(C.analyze(d, NAMES, C.forward_returns(p, HORIZONS), HORIZONS)["quantile_returns"])
+
+
+def _of(c: str, s: str, ratio: bool) -> str:
+    r = f"round(avg({c}) / nullif(stddev_samp({c}), 0), 4) AS {s}_ir, " if ratio else ""
+    return f"round(avg({c}), 4) AS {s}_mean, round(stddev_samp({c}), 4) AS {s}_std, {r}round(avg(CAST({c} > 0 AS DOUBLE)), 4) AS {s}_positive_rate, count({c}) AS {s}_count"
+
+
+LS_ONLY = _ls(False).rsplit(",\nzk AS", 1)[0]
+
+
+@query("factor_summary", f"""{BASE} {PAIRS} {LS_ONLY} {COVER} {AUTO} {Q} {TURN}
+SELECT zk.factor, zk.horizon, count(*) AS dates, round(avg(coverage), 4) AS coverage, round(avg(pair_coverage), 4) AS pair_coverage, round(avg(pair_count), 4) AS mean_pair_count,
+{_of("ic", "ic", True)}, {_of("rank_ic", "rank_ic", True)}, {_of("long_short_return", "long_short", False)},
+round(max(a.m), 4) AS autocorrelation, round(max(t.top), 4) AS top_turnover, round(max(t.low), 4) AS bottom_turnover
+FROM zk {LEFT.format('zi')} {LEFT.format('ls')} {LEFT.format('cv')} LEFT JOIN (SELECT factor, avg(autocorrelation) AS m FROM ac GROUP BY 1) a ON a.factor = zk.factor
+LEFT JOIN (SELECT factor, avg(turnover) FILTER (WHERE quantile = 5) AS top, avg(turnover) FILTER (WHERE quantile = 1) AS low FROM tv GROUP BY 1) t ON t.factor = zk.factor GROUP BY 1, 2""")
+def factor_summary(spark, sf_dir):
+    p, d = factors(spark, sf_dir)
+    return tidy(C.analyze(d, NAMES, C.forward_returns(p, HORIZONS), HORIZONS)["summary"])
+
+
+@query("factor_correlation", f"{BASE} SELECT round({_corr('alpha', 'size')}, 4) AS r FROM f WHERE alpha IS NOT NULL AND size IS NOT NULL")
+def factor_correlation(spark, sf_dir):
+    d = factors(spark, sf_dir)[1].where("alpha is not null and size is not null").withColumn("all", F.lit(1))
+    return tidy(d.groupBy("all").agg(F.corr("alpha", "size").alias("r")).select("r"))
+
+
+@query("panel_contract", f"{BASE} SELECT instrument, datetime, round(alpha, 4) AS alpha FROM f")
+def panel_contract(spark, sf_dir):
+    return tidy(C.validate_panel(factors(spark, sf_dir)[1].select("instrument", "datetime", "alpha")))
