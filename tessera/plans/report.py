@@ -1 +1,140 @@
-"""Queries."""
+"""Queries of report diagnostics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import cross as C
+from tessera.operators import report as R
+from tessera.plans.catalog import query
+from tessera.plans.cross import BASE, HORIZONS, KEYS, LEFT, NAMES, PAIRS, _corr, factors, labelled
+from tessera.plans.expressions import tidy
+
+IC = f"{BASE} {PAIRS}, x AS (SELECT {KEYS}, ic, CAST(row_number() OVER (PARTITION BY zk.factor, zk.horizon ORDER BY zk.datetime) AS BIGINT) AS pos FROM zk {LEFT.format('zi')})"
+FH = ["factor", "horizon"]
+
+
+def daily(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    d = C.information(labelled(spark, sf_dir))
+    return d.withColumn("pos", F.row_number().over(Window.partitionBy(*FH).orderBy("datetime")).cast("long"))
+
+
+@query("net_fee_transform", f"{BASE} SELECT instrument, datetime, round(return_1, 4) AS gross, round((1 + return_1) * (1 - CAST(0.0003 AS DOUBLE) - CAST(0.001 AS DOUBLE)) / CAST(1.0003 AS DOUBLE) - 1, 4) AS net FROM y")
+def net_fee(spark, sf_dir):
+    p, _ = factors(spark, sf_dir)
+    d = C.forward_returns(p, [1])
+    return tidy(d.select("instrument", "datetime", F.col("return_1").alias("gross"), R.net_of_fee(F.col("return_1"), *R.SCENARIOS["standard"]).alias("net")))
+
+
+@query("cumulative_gaps", f"{IC} SELECT factor, horizon, datetime, CASE WHEN ic IS NOT NULL THEN round(sum(ic) OVER (PARTITION BY factor, horizon ORDER BY datetime), 4) END AS value FROM x")
+def cumulative(spark, sf_dir):
+    return tidy(daily(spark, sf_dir).select(*FH, "datetime", R.cumulative("ic", FH).alias("value")))
+
+
+@query("rolling_ic", f"""{IC} SELECT factor, horizon, datetime, CASE WHEN count(ic) OVER r >= 5 THEN round(avg(ic) OVER r, 4) END AS value FROM x
+WINDOW r AS (PARTITION BY factor, horizon ORDER BY datetime ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
+def rolling(spark, sf_dir):
+    return tidy(daily(spark, sf_dir).select(*FH, "datetime", R.rolling_mean("ic", FH).alias("value")))
+
+
+@query("monthly_ic", f"""{IC} SELECT k.factor, k.horizon, CAST(2024 AS INTEGER) AS year, CAST(m.m AS INTEGER) AS month, round(v.mean, 4) AS mean
+FROM (SELECT DISTINCT factor, horizon FROM x) k CROSS JOIN (SELECT unnest(range(1, 13)) AS m) m
+LEFT JOIN (SELECT factor, horizon, month(datetime) AS m, avg(ic) AS mean FROM x GROUP BY 1, 2, 3) v ON v.factor = k.factor AND v.horizon = k.horizon AND v.m = m.m""")
+def monthly(spark, sf_dir):
+    return tidy(R.monthly(daily(spark, sf_dir), "ic", FH))
+
+
+SHAPE = "s AS (SELECT factor, horizon, min(ic) AS lo, max(ic) AS hi, least(30, greatest(6, CAST(floor(sqrt(count(*))) AS INTEGER))) AS bins FROM x WHERE ic IS NOT NULL GROUP BY 1, 2)"
+
+
+@query("histogram", f"""{IC}, {SHAPE}, b AS (SELECT factor, horizon, lo, hi, bins, unnest(range(0, bins)) AS bin FROM s),
+c AS (SELECT x.factor, x.horizon, least(CAST(floor(coalesce((ic - lo) / nullif(hi - lo, 0), 0) * bins) AS INTEGER), bins - 1) AS bin, count(*) AS n FROM x JOIN s USING (factor, horizon) WHERE ic IS NOT NULL GROUP BY 1, 2, 3)
+SELECT b.factor, b.horizon, CAST(b.bin AS INTEGER) AS bin, round(lo + (hi - lo) * b.bin / bins, 4) AS "left", round(lo + (hi - lo) * (b.bin + 1) / bins, 4) AS "right", coalesce(n, 0) AS n
+FROM b LEFT JOIN c ON c.factor = b.factor AND c.horizon = b.horizon AND c.bin = b.bin""")
+def histogram(spark, sf_dir):
+    return tidy(R.histogram(daily(spark, sf_dir), "ic", FH))
+
+
+@query("box_summary", f"{IC} SELECT factor, horizon, round(min(ic), 4) AS min, round(quantile_cont(ic, 0.25), 4) AS q1, round(median(ic), 4) AS median, round(quantile_cont(ic, 0.75), 4) AS q3, round(max(ic), 4) AS max FROM x GROUP BY 1, 2")
+def box(spark, sf_dir):
+    return tidy(R.box(daily(spark, sf_dir), "ic", FH))
+
+
+@query("kde", f"""{IC}, s AS (SELECT factor, horizon, stddev_samp(ic) * power(count(ic), CAST(-0.2 AS DOUBLE)) AS h, min(ic) AS lo, max(ic) AS hi FROM x GROUP BY 1, 2),
+p AS (SELECT *, lo - 3 * h + (hi - lo + 6 * h) * point / 63 AS xx FROM (SELECT *, unnest(range(0, 64)) AS point FROM s))
+SELECT p.factor, p.horizon, CAST(point AS INTEGER) AS point, round(max(xx), 4) AS x, round(avg(exp(-power((xx - ic) / h, 2) / 2)) / max(h) / sqrt(2 * pi()), 4) AS density
+FROM p JOIN x ON x.factor = p.factor AND x.horizon = p.horizon AND ic IS NOT NULL GROUP BY 1, 2, 3""")
+def kde(spark, sf_dir):
+    return tidy(R.kde(daily(spark, sf_dir), "ic", FH))
+
+
+@query("risk_sampling", f"{IC} SELECT factor, horizon, datetime, round(ic, 4) AS ic FROM x WHERE (pos - 1) % 3 = 0 AND horizon = 3")
+def risk_sampling(spark, sf_dir):
+    return tidy(R.risk_sample(daily(spark, sf_dir).where("horizon = 3"), 3, FH).select(*FH, "datetime", "ic"))
+
+
+@query("performance_metrics", f"""{IC} SELECT factor, horizon, count(ic) AS "count", round(avg(ic), 4) AS mean, round(stddev_samp(ic), 4) AS std, round(avg(ic) * 252, 4) AS annualized_mean,
+round(stddev_samp(ic) * sqrt(252), 4) AS annualized_std, round(avg(ic) * sqrt(252) / stddev_samp(ic), 4) AS ratio, round(avg(ic) * sqrt(count(ic)) / stddev_samp(ic), 4) AS t_stat,
+round(avg(CAST(ic > 0 AS DOUBLE)), 4) AS win_rate, round(max(ic), 4) AS best, round(min(ic), 4) AS worst FROM x GROUP BY 1, 2""")
+def performance(spark, sf_dir):
+    return tidy(R.performance(daily(spark, sf_dir), "ic", FH).drop("p_value"))
+
+
+@query("performance_p_value")
+def p_value(spark, sf_dir):
+    return tidy(R.performance(daily(spark, sf_dir), "ic", FH).select(*FH, "t_stat", "p_value"))
+
+
+@query("normal_points")
+def normal_points(spark, sf_dir):
+    return tidy(R.normal_points(daily(spark, sf_dir), "ic", FH))
+
+
+def with_sector(spark, sf_dir):
+    p, d = factors(spark, sf_dir)
+    rows = C.long_form(d, NAMES, C.forward_returns(p, HORIZONS), HORIZONS)
+    return rows.join(d.select("instrument", "datetime", "industry"), ["instrument", "datetime"]).where("industry is not null")
+
+
+SECTOR = f"{BASE}, zs AS (SELECT z.*, industry FROM z JOIN f ON f.instrument = z.instrument AND f.datetime = z.datetime WHERE industry IS NOT NULL)"
+
+
+@query("sector_ic", f"""{SECTOR}, p AS (SELECT factor, horizon, industry, datetime, {_corr("value", "label")} AS ic FROM zs WHERE value IS NOT NULL AND label IS NOT NULL GROUP BY 1, 2, 3, 4),
+k AS (SELECT DISTINCT factor, horizon, industry, datetime FROM zs) SELECT k.factor, k.horizon, k.industry, round(avg(ic), 4) AS ic
+FROM k LEFT JOIN p ON p.factor = k.factor AND p.horizon = k.horizon AND p.industry = k.industry AND p.datetime = k.datetime GROUP BY 1, 2, 3""")
+def sector_ic(spark, sf_dir):
+    d = C.information(with_sector(spark, sf_dir), ("factor", "horizon", "industry", "datetime"))
+    return tidy(d.groupBy("factor", "horizon", "industry").agg(F.avg("ic").alias("ic")))
+
+
+@query("sector_quantiles", f"""{SECTOR}, qd AS (SELECT factor, datetime, count(DISTINCT value) AS nd, count(value) AS n FROM v GROUP BY 1, 2),
+qr AS (SELECT v.*, rank() OVER (PARTITION BY factor, datetime ORDER BY value) + (count(*) OVER (PARTITION BY factor, datetime, value) - 1) / 2.0 AS r FROM v WHERE value IS NOT NULL),
+qm AS (SELECT qr.factor, instrument, qr.datetime, CAST(floor((r - 1) * 5 / n) AS INTEGER) + 1 AS quantile FROM qr JOIN qd ON qd.factor = qr.factor AND qd.datetime = qr.datetime WHERE nd >= 5)
+SELECT zs.factor, zs.horizon, industry, quantile, count(label) AS n, round(avg(label), 4) AS mean FROM zs JOIN qm ON qm.factor = zs.factor AND qm.instrument = zs.instrument AND qm.datetime = zs.datetime GROUP BY 1, 2, 3, 4""")
+def sector_quantiles(spark, sf_dir):
+    """Groups are those of the whole market."""
+    rows = with_sector(spark, sf_dir)
+    member = C.quantiles(C.long_form(factors(spark, sf_dir)[1], NAMES)).where("quantile is not null").select("factor", "datetime", "instrument", "quantile")
+    d = rows.join(member, ["factor", "datetime", "instrument"])
+    return tidy(d.groupBy("factor", "horizon", "industry", "quantile").agg(F.count("label").alias("n"), F.avg("label").alias("mean")))
+
+
+@query("pending_labels", f"""{BASE}, l AS (SELECT horizon, datetime, count(label) AS n FROM z GROUP BY 1, 2)
+SELECT l.horizon, l.datetime, pos + 1 + l.horizon > (SELECT max(pos) FROM cal) AND n = 0 AS pending FROM l JOIN cal USING (datetime)""")
+def pending_labels(spark, sf_dir):
+    p, _ = factors(spark, sf_dir)
+    d = labelled(spark, sf_dir).groupBy("horizon", "datetime").agg(F.count("label").alias("label_count")).join(F.broadcast(p.calendar), "datetime")
+    size = p.calendar.agg(F.max("pos").alias("size"))
+    d = d.crossJoin(F.broadcast(size))
+    return d.select("horizon", "datetime", ((F.col("pos") + 1 + F.col("horizon") > F.col("size")) & (F.col("label_count") == 0)).alias("pending"))
+
+
+@query("report_payload")
+def report_payload(spark, sf_dir):
+    """The report's JSON and its page, as one row."""
+    p, d = factors(spark, sf_dir)
+    tables = C.analyze(d, NAMES, C.forward_returns(p, HORIZONS), HORIZONS)
+    data = R.payload({"summary": tables["summary"].orderBy(*FH)}, {"factors": NAMES, "horizons": HORIZONS})
+    return spark.createDataFrame([(data, len(R.html(data, "factors")))], "payload string, page_size int")
