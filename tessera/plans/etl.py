@@ -1 +1,118 @@
-"""Queries."""
+"""Queries of the dataset build."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.plans.catalog import query
+from tessera.plans.expressions import GRID, tidy
+from tessera.sources import etl as E
+from tessera.sources.driver import events_panel, read
+
+
+def bars(spark, sf_dir):
+    return events_panel(spark, sf_dir).daily
+
+
+@query("limits_validate", f"{GRID} SELECT instrument, datetime, round(high, 4) AS up_limit, round(CASE WHEN CAST(instrument AS BIGINT) % 5 <> 0 THEN low END, 4) AS down_limit FROM g WHERE close IS NOT NULL")
+def limits_validate(spark, sf_dir):
+    low = F.when(F.col("instrument").cast("long") % 5 == 0, -F.col("low")).otherwise(F.col("low"))
+    return tidy(E.validate_limits(bars(spark, sf_dir).select("instrument", "datetime", F.col("high").alias("up_limit"), low.alias("down_limit"))))
+
+
+@query("daily_merge_vwap", f"""{GRID} SELECT instrument, datetime, CASE WHEN CAST(instrument AS BIGINT) % 3 <> 0 THEN round(close, 4) END AS close, volume, round(amount, 4) AS amount, factor,
+CASE WHEN CAST(instrument AS BIGINT) % 2 = 0 THEN round(open, 4) END AS cap, round(amount * 10 / volume, 4) AS vwap FROM g WHERE close IS NOT NULL""")
+def daily_merge(spark, sf_dir):
+    d, keys = bars(spark, sf_dir), ["instrument", "datetime"]
+    text = d.select(*keys, F.when(F.col("instrument").cast("long") % 3 == 0, F.lit("n/a")).otherwise(F.col("close").cast("string")).alias("close"), "volume", "amount")
+    caps = d.where("cast(instrument as bigint) % 2 = 0").select(*keys, F.col("open").alias("cap"))
+    return tidy(E.merge_daily(text, d.select(*keys, "factor"), caps))
+
+
+SPANS = f"{GRID}, s AS (SELECT instrument, datetime AS a, datetime + 2 AS b FROM d WHERE error = 1)"
+
+
+def spans(spark, sf_dir):
+    st = events_panel(spark, sf_dir).intervals.where("market = 'st'")
+    return st.select("instrument", "start", F.date_add("start", 2).alias("end"))
+
+
+@query("interval_coalesce", f"""{SPANS}, l AS (SELECT s.instrument, a, b, min(pos) AS p, max(pos) AS q FROM s JOIN cal ON cal.datetime BETWEEN a AND b GROUP BY 1, 2, 3),
+t AS (SELECT *, CASE WHEN coalesce(p > max(q) OVER (PARTITION BY instrument ORDER BY p, q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, true) THEN 1 ELSE 0 END AS turn FROM l),
+i AS (SELECT *, sum(turn) OVER (PARTITION BY instrument ORDER BY p, q ROWS UNBOUNDED PRECEDING) AS island FROM t),
+m AS (SELECT instrument, island, min(p) AS p, max(q) AS q FROM i GROUP BY 1, 2)
+SELECT m.instrument, x.datetime AS "start", y.datetime AS "end" FROM m JOIN cal x ON x.pos = m.p JOIN cal y ON y.pos = m.q""")
+def interval_coalesce(spark, sf_dir):
+    return E.coalesce_intervals(spans(spark, sf_dir), events_panel(spark, sf_dir).calendar)
+
+
+@query("industry_overlap_check", f"""{SPANS}, k AS (SELECT *, CASE WHEN day(a) % 2 = 0 THEN 'even' ELSE 'odd' END AS industry FROM s)
+SELECT DISTINCT x.instrument, x.a AS "start", x.b AS "end", x.industry FROM k x JOIN k y ON y.instrument = x.instrument AND y.industry <> x.industry AND y.b >= x.a AND (y.a < x.a OR (y.a = x.a AND y.industry < x.industry))""")
+def industry_overlap(spark, sf_dir):
+    d = spans(spark, sf_dir).withColumn("industry", F.when(F.dayofmonth("start") % 2 == 0, "even").otherwise("odd"))
+    return E.overlaps(d)
+
+
+@query("listing_intervals", f"""{GRID}, s AS (SELECT instrument, min(datetime) AS a, max(datetime) AS b FROM d GROUP BY 1)
+SELECT instrument, greatest(a, DATE '2024-01-03') AS "start", least(CASE WHEN CAST(instrument AS BIGINT) % 7 = 0 THEN b ELSE DATE '2024-01-28' END, DATE '2024-01-28') AS "end" FROM s WHERE greatest(a, DATE '2024-01-03') <= least(CASE WHEN CAST(instrument AS BIGINT) % 7 = 0 THEN b ELSE DATE '2024-01-28' END, DATE '2024-01-28')""")
+def listing(spark, sf_dir):
+    return E.listing_intervals(events_panel(spark, sf_dir).basic, "2024-01-03", "2024-01-28")
+
+
+@query("snapshot_to_intervals", f"""{GRID}, x AS (SELECT 'i' || CAST(CAST(instrument AS BIGINT) % 2 AS VARCHAR) AS index_code, datetime, instrument FROM d WHERE day(datetime) IN (1, 11, 21)),
+n AS (SELECT index_code, datetime, coalesce(lead(datetime) OVER (PARTITION BY index_code ORDER BY datetime) - 1, DATE '2099-12-31') AS "end" FROM (SELECT DISTINCT index_code, datetime FROM x))
+SELECT index_code, instrument, datetime AS "start", "end" FROM x JOIN n USING (index_code, datetime)""")
+def snapshots(spark, sf_dir):
+    d = bars(spark, sf_dir).where("day(datetime) in (1, 11, 21)")
+    return E.snapshots_to_intervals(d.select(F.concat(F.lit("i"), (F.col("instrument").cast("long") % 2).cast("string")).alias("index_code"), "datetime", "instrument"))
+
+
+@query("calendar_build", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS datetime FROM orders WHERE o_orderstatus <> 'P' AND CAST(o_orderdate AS DATE) <= DATE '1996-12-31'")
+def calendar_build(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    d = o.select(F.to_date("o_orderdate").alias("datetime"), F.when(F.col("o_orderstatus") != "P", 1).otherwise(0).alias("is_open"))
+    return E.build_calendar(d, "1996-12-31")[0]
+
+
+RAW = """WITH raw AS (SELECT CAST(o_custkey AS VARCHAR) AS instrument, CAST(o_orderdate AS DATE) AS ann_date, CAST(last_day(o_orderdate - INTERVAL 2 MONTH) AS DATE) AS end_date,
+  max(o_orderkey) AS update_flag, arg_max(o_totalprice, o_orderkey) AS price, CAST(arg_max(CASE WHEN o_orderpriority LIKE '1%' THEN 1.0 ELSE 2.0 END, o_orderkey) AS DOUBLE) AS urgency FROM orders GROUP BY 1, 2, 3)"""
+
+
+def raw(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").withColumn("d", F.to_date("o_orderdate"))
+    o = o.select(F.col("o_custkey").cast("string").alias("instrument"), F.col("d").alias("ann_date"), F.last_day(F.add_months("d", -2)).alias("end_date"), "o_orderkey", F.col("o_totalprice").alias("price"), F.when(F.col("o_orderpriority").startswith("1"), 1.0).otherwise(2.0).alias("urgency"))
+    return o.groupBy("instrument", "ann_date", "end_date").agg(F.max("o_orderkey").alias("update_flag"), F.max_by("price", "o_orderkey").alias("price"), F.max_by("urgency", "o_orderkey").alias("urgency"))
+
+
+KEPT = "month(end_date) % 3 = 0 AND ann_date >= end_date AND ann_date <= DATE '1997-12-31'"
+
+
+@query("financial_normalize", f"""{RAW} SELECT instrument, 'price' AS field, ann_date, CAST(year(end_date) * 100 + quarter(end_date) AS INTEGER) AS period, price AS value FROM raw WHERE {KEPT}
+UNION ALL SELECT instrument, 'urgency', ann_date, CAST(year(end_date) * 100 + quarter(end_date) AS INTEGER), urgency FROM raw WHERE {KEPT}""")
+def financial_normalize(spark, sf_dir):
+    return E.normalize_financial(raw(spark, sf_dir), ["price", "urgency"], "1997-12-31")
+
+
+@query("unpivot_indicators", f"{RAW} SELECT instrument, ann_date, 'price' AS field, price AS value FROM raw UNION ALL SELECT instrument, ann_date, 'urgency', urgency FROM raw")
+def unpivot(spark, sf_dir):
+    return raw(spark, sf_dir).select("instrument", "ann_date", "price", "urgency").unpivot(["instrument", "ann_date"], ["price", "urgency"], "field", "value")
+
+
+@query("skipped_announcements", f"{RAW} SELECT 'not_a_quarter' AS reason, count(*) AS n FROM raw WHERE month(end_date) % 3 <> 0 HAVING count(*) > 0")
+def skipped(spark, sf_dir):
+    return E.skipped(raw(spark, sf_dir))
+
+
+@query("revision_merge", """SELECT c_custkey, c_name, CASE WHEN c_custkey % 2 = 0 THEN CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE -c_acctbal END ELSE c_acctbal END AS c_acctbal FROM customer
+UNION ALL SELECT CAST(-1 AS BIGINT), NULL, CAST(7 AS DOUBLE)""")
+def revision_merge(spark, sf_dir):
+    old = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    new = old.where("c_custkey % 2 = 0").select("c_custkey", F.when(F.col("c_custkey") % 4 != 0, -F.col("c_acctbal")).alias("c_acctbal"))
+    new = new.unionByName(spark.createDataFrame([(-1, 7.0)], "c_custkey long, c_acctbal double"))
+    return E.merge_revisions(old, new, ["c_custkey"], ["c_acctbal"])
+
+
+@query("listing_snapshot", """SELECT lpad(CAST(c_custkey AS VARCHAR), 6, '0') || '.SH' AS ts_code, DATE '2020-01-31' AS list_date, CASE WHEN c_custkey % 2 = 0 THEN DATE '2023-05-06' END AS delist_date FROM customer""")
+def listing_snapshot(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select(F.concat(F.lpad(F.col("c_custkey").cast("string"), 6, "0"), F.lit(".SH")).alias("ts_code"), F.when(F.col("c_custkey") % 3 == 0, "2020-01-31").when(F.col("c_custkey") % 3 == 1, "20200131").otherwise("20200131.0").alias("list_date"), F.when(F.col("c_custkey") % 2 == 0, "20230506").alias("delist_date"))
+    return E.listing_snapshot(c, c, c.withColumn("ts_code", F.lit("bad")))
