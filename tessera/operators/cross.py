@@ -12,7 +12,9 @@ from pyspark.sql.window import Window
 from tessera.functions.expression import finite, no_nan
 from tessera.operators.grid import Panel
 
-DAY = Window.partitionBy("datetime")
+
+def _day():
+    return Window.partitionBy("datetime")
 
 
 def validate_panel(df: DataFrame) -> DataFrame:
@@ -31,9 +33,9 @@ def _other(df: DataFrame, factors: Sequence[str]) -> list[str]:
 def winsorize(df: DataFrame, factors: Sequence[str], method: str = "std", n: float = 3.0, mad_scale: float = 1.4826, ddof: int = 0) -> DataFrame:
     """Each date's values clipped to its mean (std) or median (mad) plus and minus n deviations."""
     if method == "std":
-        mid = {f: F.avg(f).over(DAY) for f in factors}
-        dev = {f: (F.stddev_pop(f) if ddof == 0 else F.stddev_samp(f)).over(DAY) for f in factors}
-        d = df.select("*", *(mid[f].alias(f"__m_{f}") for f in factors), *(F.when(F.count(f).over(DAY) > ddof, dev[f]).alias(f"__d_{f}") for f in factors))
+        mid = {f: F.avg(f).over(_day()) for f in factors}
+        dev = {f: (F.stddev_pop(f) if ddof == 0 else F.stddev_samp(f)).over(_day()) for f in factors}
+        d = df.select("*", *(mid[f].alias(f"__m_{f}") for f in factors), *(F.when(F.count(f).over(_day()) > ddof, dev[f]).alias(f"__d_{f}") for f in factors))
     elif method == "mad":
         # medians are not mergeable: two grouped passes, joined back on the date
         med = df.groupBy("datetime").agg(*(F.percentile(f, F.lit(0.5)).alias(f"__m_{f}") for f in factors))
@@ -54,9 +56,9 @@ def standardize(df: DataFrame, factors: Sequence[str], ddof: int = 0) -> DataFra
     """Each date's z-scores; a constant date gives 0."""
 
     def z(f: str) -> Column:
-        sd = (F.stddev_pop(f) if ddof == 0 else F.stddev_samp(f)).over(DAY)
-        score = F.when(F.min(f).over(DAY) == F.max(f).over(DAY), F.lit(0.0)).otherwise(F.try_divide(F.col(f) - F.avg(f).over(DAY), sd))
-        return F.when((F.count(f).over(DAY) > ddof) & F.col(f).isNotNull(), score)
+        sd = (F.stddev_pop(f) if ddof == 0 else F.stddev_samp(f)).over(_day())
+        score = F.when(F.min(f).over(_day()) == F.max(f).over(_day()), F.lit(0.0)).otherwise(F.try_divide(F.col(f) - F.avg(f).over(_day()), sd))
+        return F.when((F.count(f).over(_day()) > ddof) & F.col(f).isNotNull(), score)
 
     return df.select(*_other(df, factors), *(z(f).alias(f) for f in factors))
 
@@ -73,11 +75,11 @@ def neutralize(df: DataFrame, factors: Sequence[str], cap: str = "cap", industry
         y, x = F.when(use, F.col(f)), F.when(use, F.ln(F.when(F.col(cap) > 0, F.col(cap))))
         d = out.withColumn("__y", y - F.avg(y).over(both)).withColumn("__x", x - F.avg(x).over(both)).withColumn("__u", use).withColumn("__raw", y)
         d = d.withColumn("__first", F.when(F.col("__u") & (F.row_number().over(Window.partitionBy("datetime", industry, "__u").orderBy("instrument")) == 1), 1))
-        sxx, sxy = F.sum(F.col("__x") * F.col("__x")).over(DAY), F.sum(F.col("__x") * F.col("__y")).over(DAY)
-        scale = F.sum(F.col("__raw") * F.col("__raw")).over(DAY)
+        sxx, sxy = F.sum(F.col("__x") * F.col("__x")).over(_day()), F.sum(F.col("__x") * F.col("__y")).over(_day())
+        scale = F.sum(F.col("__raw") * F.col("__raw")).over(_day())
         varied = sxx > 1e-12
         slope = F.when(varied, F.try_divide(sxy, sxx)).otherwise(0.0)
-        n, rank = F.count("__y").over(DAY), F.count("__first").over(DAY) + F.when(varied, 1).otherwise(0)
+        n, rank = F.count("__y").over(_day()), F.count("__first").over(_day()) + F.when(varied, 1).otherwise(0)
         d = d.select(*out.columns, "__x", "__y", slope.alias("__b"), ((n >= min_samples) & (n > rank)).alias("__ok"), F.sqrt(scale).alias("__norm"))
         r = F.col("__y") - F.col("__b") * F.col("__x")
         r = F.when(F.abs(r) <= 1e-13 * F.col("__norm"), F.lit(0.0)).otherwise(r)
