@@ -1,8 +1,8 @@
 """Near duplicates by MinHash: banded minima, signature check, links confirmed on full sets, components.
 
 Copies (equal shingle sets) are one class from the start, so a group of copies costs no pairs. Buckets of
-the bands are never paired out: each has LEADERS members, another random choice in every band, that all
-others are compared with. Candidates pass a test of sizes and of signatures, then the sets themselves
+the bands are never paired out: each has LEADERS members, the first in so many random orders of all classes,
+that all others are compared with; as buckets of different bands hold different classes, so do leaders differ. Candidates pass a test of sizes and of signatures, then the sets themselves
 decide. The best candidate of every class is confirmed first; of the others only those whose classes are
 not yet connected need confirming. Components come from alternating large-star and small-star steps.
 """
@@ -223,7 +223,7 @@ def link(docs: DataFrame) -> DataFrame:
     rows = classes.select("key", F.explode("bands").alias("h"))
     shared = rows.groupBy("h").count().where("count > 1").select("h")
     rows = s.write(rows.join(shared, "h"), "buckets")
-    least = lambda j: F.min(F.struct(F.xxhash64("key", "h", F.lit(j)).alias("o"), F.col("key").alias("k")))["k"]
+    least = lambda j: F.min(F.struct(F.xxhash64("key", F.lit(j)).alias("o"), F.col("key").alias("k")))["k"]
     leaders = s.write(rows.groupBy("h").agg(F.array_distinct(F.array(*(least(j) for j in range(LEADERS)))).alias("leaders")), "leaders")
     pairs = rows.join(leaders, "h").select("key", F.explode("leaders").alias("leader")).where("key <> leader")
     pairs = pairs.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
