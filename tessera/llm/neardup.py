@@ -4,7 +4,8 @@ Copies (equal shingle sets) are one class from the start, so a group of copies c
 the bands are never paired out: each has LEADERS members, the first in so many random orders of all classes,
 that all others are compared with; as buckets of different bands hold different classes, so do leaders differ. Candidates pass a test of sizes and of signatures, then the sets themselves
 decide. The best candidate of every class is confirmed first; of the others only those whose classes are
-not yet connected need confirming. Components come from alternating large-star and small-star steps.
+not yet connected need confirming. Last, in buckets that still hold several components, every class outside of the
+greatest is compared by signature with all others, in chunks, and its CLOSEST are confirmed. Components come from alternating large-star and small-star steps.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ PERCENT = 75
 BANDS, ROWS = 32, 4
 MINIMA = BANDS * ROWS
 LEADERS = 4
+#: Of a class that is outside of a bucket's greatest component, so many in each chunk are confirmed.
+CLOSEST, CHUNK = 12, 4000
 #: Equal bytes of two signatures, of MINIMA: five standard deviations below the threshold.
 ALIKE = int(MINIMA * 0.75 - 5 * (MINIMA * 0.75 * 0.25) ** 0.5)
 
@@ -161,6 +164,26 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.filter(pa.array(good, pa.bool_()))
 
 
+def _closest(outside: pa.Table, members: pa.Table) -> pa.Table:
+    """Pairs of a class outside with its closest members of another component, in their first common band."""
+    a, b, same = [], [], []
+    if outside.num_rows and members.num_rows:
+        matrix = lambda t, c, k: np.frombuffer(b"".join(t.column(c).to_pylist()), k).reshape(t.num_rows, -1)
+        lists = lambda t: np.asarray(t.column("bands").combine_chunks().flatten()).reshape(t.num_rows, -1)
+        sig, bands = matrix(members, "sig", np.uint8), lists(members)
+        roots, keys = np.array(members.column("root").to_pylist(), object), members.column("key").to_pylist()
+        here = members.column("h")[0].as_py()
+        for row, s, o in zip(outside.to_pylist(), matrix(outside, "sig", np.uint8), lists(outside)):
+            alike = (sig == s).sum(axis=1)
+            at = np.flatnonzero((alike >= ALIKE) & (roots != row["root"]))
+            common = bands[at] == o
+            at = at[o[common.argmax(axis=1)] == here]
+            for i in at[np.argsort(-alike[at], kind="stable")][:CLOSEST].tolist():
+                x, y = sorted((row["key"], keys[i]))
+                a.append(x), b.append(y), same.append(int(alike[i]))
+    return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(same, pa.int64())], names=["a", "b", "same"])
+
+
 #: Most rows of keys that are sent to all tasks, 24 bytes each.
 BROADCAST_ROWS = 500_000
 
@@ -204,6 +227,17 @@ def components(scratch: Scratch, edges: DataFrame, name: str, most: int = 100) -
     return out
 
 
+def _texts(d: DataFrame, asked: DataFrame) -> DataFrame:
+    """key and text of the classes asked for (key, rep): the text of a row with that id and that key."""
+    few = asked.count() <= BROADCAST_ROWS
+    wanted = asked.where("rep is not null").withColumnRenamed("rep", "doc_id")
+    found = d.join(F.broadcast(wanted) if few else wanted, "doc_id").select("key", "text").mapInArrow(_keyed, "key binary, text string")
+    if asked.where("rep is null").head():  # classes of rows without an id, by their text's key
+        lost = d.where("doc_id is null").mapInArrow(_by_key, "key binary, text string").join(asked.where("rep is null").select("key"), "key", "left_semi")
+        found = found.unionByName(lost)
+    return found.groupBy("key").agg(F.first("text").alias("text"))
+
+
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row, from whole texts.
 
@@ -230,16 +264,10 @@ def link(docs: DataFrame) -> DataFrame:
     sig = lambda c: classes.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
     near = s.write(pairs, "pairs").join(sig("a"), "a").join(sig("b"), "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
     near = s.write(near.select("a", "b", "sa", "sb").mapInArrow(_alike, "a binary, b binary, same long"), "near")
-    s.drop("buckets", "leaders", "pairs")
+    s.drop("pairs")
     # texts of the classes that are still in question
     asked = s.write(near.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "rep"), "key"), "asked")
-    few = asked.count() <= BROADCAST_ROWS
-    wanted = asked.where("rep is not null").withColumnRenamed("rep", "doc_id")
-    found = d.join(F.broadcast(wanted) if few else wanted, "doc_id").select("key", "text").mapInArrow(_keyed, "key binary, text string")
-    if asked.where("rep is null").head():  # classes of rows without an id, by their text's key
-        lost = d.where("doc_id is null").mapInArrow(_by_key, "key binary, text string").join(asked.where("rep is null").select("key"), "key", "left_semi")
-        found = found.unionByName(lost)
-    texts = s.write(found.groupBy("key").agg(F.first("text").alias("text")), "texts")
+    texts = s.write(_texts(d, asked), "texts")
     text = lambda c: texts.select(F.col("key").alias(c), F.col("text").alias(f"t{c}"))
 
     def confirmed(p: DataFrame, name: str) -> DataFrame:
@@ -254,13 +282,31 @@ def link(docs: DataFrame) -> DataFrame:
     left = near.join(best, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left").where("not coalesce(ra = rb, false)")
     second = confirmed(s.write(left.select("a", "b"), "left"), "second")
     roots = components(s, first.unionByName(second), "c2")
-    s.drop("near", "asked", "texts", "best", "first", "second", "left", "c1-roots")
+    # buckets where classes that were no leaders are in several components
+    root = roots.select(F.col("node").alias("key"), "root")
+    rooted = s.write(rows.join(root, "key", "left").select("h", "key", F.coalesce("root", "key").alias("root")), "members")
+    size = rooted.groupBy("h", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "root"))["root"].alias("main"))
+    size = size.where("parts > 1").join(leaders.select("h", F.size("leaders").alias("led")), "h").where("n - led > 1")
+    size = s.write(size.select("h", "main", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "open")
+    if size.head():
+        member = rooted.join(size, "h").join(classes.select("key", "sig", "bands"), "key")
+        member = s.write(member, "laid")
+        chunk = member.withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+        outside = member.where("root <> main").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        pairs = outside.groupBy("h", "chunk").cogroup(chunk.groupBy("h", "chunk")).applyInArrow(_closest, "a binary, b binary, same long")
+        pairs = s.write(pairs.groupBy("a", "b").agg(F.max("same").alias("same")).join(near.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+        asked2 = s.write(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "rep"), "key"), "asked2")
+        texts = s.write(_texts(d, asked2), "texts2")
+        third = confirmed(pairs, "third")
+        if third.head():
+            roots = components(s, first.unionByName(second).unionByName(third), "c3")
+    s.drop("buckets", "leaders", "near", "asked", "texts", "best", "first", "second", "left", "c1-roots", "members", "open", "laid", "rest", "asked2", "texts2", "third")
     # a class stands for itself unless it is in a component
     of = classes.select("key", "rep").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
     of = s.write(of, "rooted")
     ids = s.write(of.groupBy("root").agg(F.min("rep").alias("component")), "ids")
     named = s.write(of.join(ids, "root").select("key", "component"), "named")
-    s.drop("classes", "rooted", "ids", "c2-roots")
+    s.drop("classes", "rooted", "ids", "c2-roots", "c3-roots")
     out = signed.join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
