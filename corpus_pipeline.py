@@ -58,4 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = scratch.write(docs, name)
+            if i:
+                scratch.drop(STAGES[i - 1][0])
     return docs
