@@ -19,7 +19,7 @@ g AS (SELECT instrument, datetime FROM (SELECT DISTINCT instrument FROM p) CROSS
 
 
 def grid(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("datetime")).where("day(datetime) in (1, 15)")
+    o = read(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("datetime"))
     return pit_records(spark, sf_dir).select("instrument").distinct().crossJoin(F.broadcast(G.with_positions(o)))
 
 

@@ -42,3 +42,36 @@ def test_records_of_all_customers(spark, orders):
     assert snap == {k: (last.get((*k, "f")), last.get((*k, "o"))) for k in keys}
     some = {(r.instrument, r.period): (r.f, r.o) for r in catalog.queries()["pit_snapshot_periods"](spark, path).collect()}
     assert some == {(i, p): (last.get((i, p, "f")), last.get((i, p, "o"))) for i in {k[0] for k in keys} for p in (199601, 199602, 199704)}
+
+
+def series(last, day, instrument, field):
+    """The greatest quarter announced up to a day, and the last value of each quarter."""
+    seen = {}
+    for (i, f, d, p), v in last:
+        if i == instrument and f == field and d <= day:
+            seen[p // 100 * 4 + p % 100 - 1] = v
+    return max(seen, default=None), seen
+
+
+def mean(v):
+    return sum(v) / len(v) if v else None
+
+
+def test_projections_on_every_date(spark, orders):
+    path, rows = orders
+    last = sorted(kept(rows).items(), key=lambda x: x[0][2])
+    names = ("pit_p_raw", "pit_bare_field", "pit_pref", "pit_daily_mix", "pit_p_expr", "pit_pref_expr")
+    want = {n: {} for n in names}
+    for i in {k[0] for k, _ in last}:
+        for day in {r[4].date() for r in rows}:
+            hi, f = series(last, day, i, "f")
+            ho, o = series(last, day, i, "o")
+            raw, other = f.get(hi), o.get(ho)
+            window = lambda end: mean([v for q, v in f.items() if end - 2 <= q <= end])
+            values = (raw, raw, f.get(hi - 1) if f else None, other / raw + raw if f and o else None, window(hi) if f else None, window(hi - 1) if f and hi - 1 >= min(f) else None)
+            for n, v in zip(names, values):
+                want[n][i, day] = v
+    for n in names:
+        got = {(r.instrument, r.datetime): r.value for r in catalog.queries()[n](spark, path).collect()}
+        assert got.keys() == want[n].keys()
+        assert all(got[k] == v if v is None or got[k] is None else abs(got[k] - v) < 1e-3 for k, v in want[n].items()), n
