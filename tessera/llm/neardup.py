@@ -5,12 +5,15 @@ the bands are never paired out: each has LEADERS members, the first in so many r
 that all others are compared with; as buckets of different bands hold different classes, so do leaders differ. Candidates pass a test of sizes and of signatures, then the sets themselves
 decide. The best candidate of every class is confirmed first; of the others only those whose classes are
 not yet connected need confirming. Last, in buckets that still hold several components, every class outside of the
-greatest is compared by signature with all others, in chunks, and its CLOSEST are confirmed. Components come from alternating large-star and small-star steps.
+greatest is compared by signature with all others, in chunks, and confirmed in rounds, CLOSEST at a time, until no pair
+that is alike and unconfirmed joins two components. Components come from alternating large-star and small-star steps.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +30,7 @@ PERCENT = 75
 BANDS, ROWS = 32, 4
 MINIMA = BANDS * ROWS
 LEADERS = 4
-#: Of a class that is outside of a bucket's greatest component, so many in each chunk are confirmed.
+#: Of a class that is outside of a bucket's greatest component, so many in each chunk are confirmed in a round.
 CLOSEST, CHUNK = 12, 4000
 #: Equal bytes of two signatures, of MINIMA: five standard deviations below the threshold.
 ALIKE = int(MINIMA * 0.75 - 5 * (MINIMA * 0.75 * 0.25) ** 0.5)
@@ -164,24 +167,34 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.filter(pa.array(good, pa.bool_()))
 
 
+CLOSE = "a binary, b binary, h long, chunk int, key binary, other binary, same long"
+
+
 def _closest(outside: pa.Table, members: pa.Table) -> pa.Table:
-    """Pairs of a class outside with its closest members of another component, in their first common band."""
-    a, b, same = [], [], []
+    """Pairs (a, b) of a class outside (key) with its next CLOSEST members (other) of another component, in their first common band.
+
+    Members are ranked by equal bytes, then by key; the next ones come behind the pair (same, other) of past, if that isn't null."""
+    rows = []
     if outside.num_rows and members.num_rows:
         matrix = lambda t, c, k: np.frombuffer(b"".join(t.column(c).to_pylist()), k).reshape(t.num_rows, -1)
         lists = lambda t: np.asarray(t.column("bands").combine_chunks().flatten()).reshape(t.num_rows, -1)
-        sig, bands = matrix(members, "sig", np.uint8), lists(members)
+        members = members.sort_by("key")
+        sig, bands, n = matrix(members, "sig", np.uint8), lists(members), np.asarray(members.column("n"))
         roots, keys = np.array(members.column("root").to_pylist(), object), members.column("key").to_pylist()
-        here = members.column("h")[0].as_py()
+        here, chunk = members.column("h")[0].as_py(), members.column("chunk")[0].as_py()
         for row, s, o in zip(outside.to_pylist(), matrix(outside, "sig", np.uint8), lists(outside)):
             alike = (sig == s).sum(axis=1)
-            at = np.flatnonzero((alike >= ALIKE) & (roots != row["root"]))
+            good = (alike >= ALIKE) & (roots != row["root"]) & (100 * np.minimum(n, row["n"]) >= PERCENT * np.maximum(n, row["n"]))
+            if row["past"] is not None:
+                behind = np.arange(len(keys)) >= bisect_right(keys, row["past"]["other"])
+                good &= (alike < row["past"]["same"]) | (alike == row["past"]["same"]) & behind
+            at = np.flatnonzero(good)
             common = bands[at] == o
             at = at[o[common.argmax(axis=1)] == here]
             for i in at[np.argsort(-alike[at], kind="stable")][:CLOSEST].tolist():
-                x, y = sorted((row["key"], keys[i]))
-                a.append(x), b.append(y), same.append(int(alike[i]))
-    return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(same, pa.int64())], names=["a", "b", "same"])
+                rows.append((*sorted((row["key"], keys[i])), here, chunk, row["key"], keys[i], int(alike[i])))
+    kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
+    return pa.table([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 7, kinds)], names=["a", "b", "h", "chunk", "key", "other", "same"])
 
 
 #: Most rows of keys that are sent to all tasks, 24 bytes each.
@@ -287,26 +300,55 @@ def link(docs: DataFrame) -> DataFrame:
     rooted = s.write(rows.join(root, "key", "left").select("h", "key", F.coalesce("root", "key").alias("root")), "members")
     size = rooted.groupBy("h", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "root"))["root"].alias("main"))
     size = size.where("parts > 1").join(leaders.select("h", F.size("leaders").alias("led")), "h").where("n - led > 1")
+    made = []
     size = s.write(size.select("h", "main", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "open")
     if size.head():
-        member = rooted.join(size, "h").join(classes.select("key", "sig", "bands"), "key")
-        member = s.write(member, "laid")
-        chunk = member.withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
-        outside = member.where("root <> main").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        pairs = outside.groupBy("h", "chunk").cogroup(chunk.groupBy("h", "chunk")).applyInArrow(_closest, "a binary, b binary, same long")
-        pairs = s.write(pairs.groupBy("a", "b").agg(F.max("same").alias("same")).join(near.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-        asked2 = s.write(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "rep"), "key"), "asked2")
-        texts = s.write(_texts(d, asked2), "texts2")
-        third = confirmed(pairs, "third")
-        if third.head():
-            roots = components(s, first.unionByName(second).unionByName(third), "c3")
-    s.drop("buckets", "leaders", "near", "asked", "texts", "best", "first", "second", "left", "c1-roots", "members", "open", "laid", "rest", "asked2", "texts2", "third")
+        member = rooted.drop("root").join(size, "h").join(classes.select("key", "n", "sig", "bands"), "key")
+        member = s.write(member.withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")), "laid")
+        past, joined, links = None, None, first.unionByName(second)
+        # a round's candidates come behind those of the round before, so that each is confirmed once
+        for i in itertools.count():
+            now = lambda c, out: roots.select(F.col("node").alias(c), F.col("root").alias(out))
+            at = member.join(now("key", "root"), "key", "left").join(now("main", "lead"), "main", "left")
+            at = at.withColumn("root", F.coalesce("root", "key")).withColumn("lead", F.coalesce("lead", "main"))
+            outside = at.where("root <> lead").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+            if past is None:
+                outside = outside.withColumn("past", F.lit(None).cast("struct<same: long, other: binary>"))
+            else:
+                outside = outside.join(past, ["h", "chunk", "key"])
+            side = lambda d, *more: d.select("h", "chunk", "key", "root", "n", "sig", "bands", *more)
+            outside = s.write(side(outside, "past"), f"outside{i}")
+            found = outside.groupBy("h", "chunk").cogroup(side(at).groupBy("h", "chunk")).applyInArrow(_closest, CLOSE)
+            found = s.write(found, f"close{i}")
+            pairs = found.select("a", "b").distinct().join(near.select("a", "b"), ["a", "b"], "left_anti")
+            pairs = s.write(pairs, f"rest{i}")
+            if pairs.head():
+                asked = s.write(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "rep"), "key"), f"asked{i}")
+                texts = s.write(_texts(d, asked), f"texts{i}")
+                third = confirmed(pairs, f"third{i}")
+                if third.head():
+                    links = links.unionByName(third)
+                    if joined is not None:
+                        s.drop(joined)
+                    roots, joined = components(s, links, f"d{i}"), f"d{i}-roots"
+                    made.append(joined)
+                made.append(f"third{i}")
+                s.drop(f"asked{i}", f"texts{i}")
+            # those that got fewer than CLOSEST have no more
+            last = F.max(F.struct((-F.col("same")).alias("less"), "other")).alias("last")
+            past = found.groupBy("h", "chunk", "key").agg(F.count(F.lit(1)).alias("got"), last).where(f"got = {CLOSEST}")
+            past = s.write(past.select("h", "chunk", "key", F.struct((-F.col("last.less")).alias("same"), F.col("last.other").alias("other")).alias("past")), f"past{i}")
+            s.drop(f"outside{i}", f"close{i}", f"rest{i}", *([f"past{i - 1}"] if i else []))
+            if not past.head():
+                s.drop(f"past{i}")
+                break
+    s.drop("buckets", "leaders", "near", "asked", "texts", "best", "first", "second", "left", "c1-roots", "members", "open", "laid")
     # a class stands for itself unless it is in a component
     of = classes.select("key", "rep").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
     of = s.write(of, "rooted")
     ids = s.write(of.groupBy("root").agg(F.min("rep").alias("component")), "ids")
     named = s.write(of.join(ids, "root").select("key", "component"), "named")
-    s.drop("classes", "rooted", "ids", "c2-roots", "c3-roots")
+    s.drop("classes", "rooted", "ids", "c2-roots", *made)
     out = signed.join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 

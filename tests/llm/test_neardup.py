@@ -77,3 +77,25 @@ def test_kept_and_empty(spark):
     d = spark.createDataFrame([(2, "a b c d e f", "x"), (1, "a b c d e f", "y"), (3, None, "z"), (None, "q", "n"), (1, "a b c d e f", "y")], "doc_id long, text string, component_id string")
     assert sorted(r.component_id for r in neardup.kept(d).collect()) == ["n", "y", "z"]
     assert neardup.link(d.limit(0)).count() == 0 and neardup.kept(d.limit(0)).count() == 0
+
+
+def test_link_behind_many_closer_candidates(spark):
+    """All pairs are at 0.745 but x and y at 0.76, which agree in fewer bytes of the signature than the others."""
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(8))
+    x = [word() for _ in range(100)]
+
+    def changed(*at):
+        return " ".join(word() if i in at else w for i, w in enumerate(x))
+
+    def shared(t):
+        s, bands = neardup.signature(neardup.minima(neardup.shingles(t)))
+        return not bands[0] == bx[0], sum(bands == bx), sum(a == b for a, b in zip(s, sx))
+
+    sx, bx = neardup.signature(neardup.minima(neardup.shingles(" ".join(x))))
+    rows = [(10, " ".join(x)), (20, min((changed(2, 40, 70) for _ in range(400)), key=shared))]
+    rows += [(100 + i, changed(3, 40, 70)) for i in range(150)]
+    want = sorted(brute(rows))
+    assert [d for d, _, c in want if c != d] == [20]
+    got = neardup.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((d.doc_id, d.n_shingles, d.component_id) for d in got) == want
