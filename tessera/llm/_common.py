@@ -44,9 +44,11 @@ def remainder(col: Column, n: int) -> Column:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is named, as in tests."""
+    """The shared folder of the cluster; a temporary one only where none is named and all tasks run on this machine, as in tests."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that the driver and all executors share")
         global _LOCAL
         if _LOCAL is None:
             _LOCAL = tempfile.mkdtemp(prefix="tessera")
@@ -58,10 +60,16 @@ _LOCAL: str | None = None
 
 
 class Scratch:
-    """Tables that cut lineage, written below the shared folder; drop() removes those no longer read."""
+    """Tables that cut lineage, written below the shared folder; drop() removes those no longer read.
+
+    What a result still reads is removed when the session's JVM ends, or by close()."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.base = spark, f"{work_dir(spark)}/tessera-{uuid.uuid4().hex}"
+        path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.base), spark.sparkContext._jsc.hadoopConfiguration()
+        store = path.getFileSystem(conf)
+        store.mkdirs(path)
+        store.deleteOnExit(path)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
@@ -71,9 +79,12 @@ class Scratch:
     def drop(self, *names: str) -> None:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}".rstrip("/"))
             path.getFileSystem(conf).delete(path, True)
 
+    def close(self) -> None:
+        self.drop("")
+
 
 def digest(spans: Iterable[tuple[int, int, str, int]]) -> str:
     """kind:start:end, comma-joined, by start, then by the kind's rank."""

@@ -2,24 +2,22 @@
 
 Copies (equal shingle sets) are one class from the start, so a group of copies costs no pairs. Buckets of
 the bands are never paired out: each has LEADERS members, the first in so many random orders of all classes,
-that all others are compared with; as buckets of different bands hold different classes, so do leaders differ. Candidates pass a test of sizes and of signatures, then the sets themselves
-decide. The best candidate of every class is confirmed first; of the others only those whose classes are
-not yet connected need confirming. Last, in buckets that still hold several components, every class outside of the
-greatest is compared by signature with all others, in chunks, and confirmed in rounds, CLOSEST at a time, until no pair
-that is alike and unconfirmed joins two components. Components come from alternating large-star and small-star steps.
+that all others are compared with; as buckets of different bands hold different classes, so do leaders differ. Candidates pass a test of sizes and of signatures, then the
+best candidate of every class is confirmed on whole sets. Last, the other candidates and buckets that still hold several components:
+every class outside of the greatest one is compared with all others, block by block, on whole sets. Components come from alternating
+large-star and small-star steps.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import Scratch, rows_of
 
@@ -30,8 +28,9 @@ PERCENT = 75
 BANDS, ROWS = 32, 4
 MINIMA = BANDS * ROWS
 LEADERS = 4
-#: Of a class that is outside of a bucket's greatest component, so many in each chunk are confirmed in a round.
-CLOSEST, CHUNK = 12, 4000
+#: Shingles of a block of the closing pass at first, blocks a side until they grow, and most shingles of a block and of a group that is one cell.
+BLOCK, SIDES, MOST = 32_000, 12, 4_000_000
+GROUP = SIDES * MOST
 #: Equal bytes of two signatures, of MINIMA: five standard deviations below the threshold.
 ALIKE = int(MINIMA * 0.75 - 5 * (MINIMA * 0.75 * 0.25) ** 0.5)
 
@@ -143,112 +142,177 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kept: dict[bytes, np.ndarray] = {}
     for b in rows_of(batches):
         good = []
-        for i in range(b.num_rows):
-            sets = []
-            for k, t in ((0, 2), (1, 3)):
-                key = b.column(k)[i].as_py()
-                if key not in kept:
-                    if len(kept) > 64:
-                        kept.clear()
-                    kept[key] = shingles(b.column(t)[i].as_py())
-                sets.append(kept[key])
-            both = len(np.intersect1d(*sets, assume_unique=True))
-            good.append(100 * both >= PERCENT * (len(sets[0]) + len(sets[1]) - both))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose text has the key that it was looked up for: ids can repeat with other texts."""
+        for x, y in zip(b.column(2), b.column(3)):
+            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            good.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(good, pa.bool_())], ["a", "b", "good"])
+
+
+SETS = "key binary, shingles binary"
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, text) the key and the set, where the text has the key that it was looked up for: ids can repeat with other texts."""
     for b in rows_of(batches):
-        good = [key_of(shingles(t.as_py())) == k.as_py() for k, t in zip(b.column(0), b.column(1))]
-        yield b.filter(pa.array(good, pa.bool_()))
-
-
-CLOSE = "a binary, b binary, h long, chunk int, key binary, other binary, same long"
-
-
-def _closest(outside: pa.Table, members: pa.Table) -> pa.Table:
-    """Pairs (a, b) of a class outside (key) with its next CLOSEST members (other) of another component, in their first common band.
-
-    Members are ranked by equal bytes, then by key; the next ones come behind the pair (same, other) of past, if that isn't null."""
-    rows = []
-    if outside.num_rows and members.num_rows:
-        matrix = lambda t, c, k: np.frombuffer(b"".join(t.column(c).to_pylist()), k).reshape(t.num_rows, -1)
-        lists = lambda t: np.asarray(t.column("bands").combine_chunks().flatten()).reshape(t.num_rows, -1)
-        members = members.sort_by("key")
-        sig, bands, n = matrix(members, "sig", np.uint8), lists(members), np.asarray(members.column("n"))
-        roots, keys = np.array(members.column("root").to_pylist(), object), members.column("key").to_pylist()
-        here, chunk = members.column("h")[0].as_py(), members.column("chunk")[0].as_py()
-        for row, s, o in zip(outside.to_pylist(), matrix(outside, "sig", np.uint8), lists(outside)):
-            alike = (sig == s).sum(axis=1)
-            good = (alike >= ALIKE) & (roots != row["root"]) & (100 * np.minimum(n, row["n"]) >= PERCENT * np.maximum(n, row["n"]))
-            if row["past"] is not None:
-                behind = np.arange(len(keys)) >= bisect_right(keys, row["past"]["other"])
-                good &= (alike < row["past"]["same"]) | (alike == row["past"]["same"]) & behind
-            at = np.flatnonzero(good)
-            common = bands[at] == o
-            at = at[o[common.argmax(axis=1)] == here]
-            for i in at[np.argsort(-alike[at], kind="stable")][:CLOSEST].tolist():
-                rows.append((*sorted((row["key"], keys[i])), here, chunk, row["key"], keys[i], int(alike[i])))
-    kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
-    return pa.table([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 7, kinds)], names=["a", "b", "h", "chunk", "key", "other", "same"])
+        sets = [shingles(t.as_py()) for t in b.column(1)]
+        good = [k.as_py() in (None, key_of(x)) for k, x in zip(b.column(0), sets)]
+        yield pa.RecordBatch.from_arrays([pa.array(map(key_of, sets), pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["key", "shingles"]).filter(pa.array(good, pa.bool_()))
+
+
+#: What a task of the closing pass gets: a class as member of block j, or as one outside of block i that is compared with block j. Small cells share a pack.
+LAID = ("pack", "i", "j", "cell", "key", "n", "sig", "shingles", "root", "member", "outside")
+LINKS = "a binary, b binary"
+
+
+def _linked(t: pa.Table) -> pa.Table:
+    """Links that join components, among all pairs of an outside class of block i and a member of block j.
+
+    Signatures and sizes rule pairs out, then whole sets are intersected: the shingles of all members are numbered, those of one
+    class marked, and the marks counted for each member. Components joined here are one from then on, so that at most as many
+    links are told as there are components less one."""
+    t = t.sort_by("key")
+    i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    keys, n = t.column("key").to_pylist(), t.column("n").to_numpy()
+    member, outside = (t.column(c).to_numpy(zero_copy_only=False) for c in ("member", "outside"))
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(keys), -1)
+    flat = np.frombuffer(b"".join(t.column("shingles").to_pylist()), np.uint64)
+    values, number = np.unique(flat, return_inverse=True)
+    first = np.append(0, np.cumsum(n))
+    _, root = np.unique(np.array(t.column("root").to_pylist(), object), return_inverse=True)
+    cell = t.column("cell").to_numpy()
+    marked = np.zeros(len(values), bool)
+    rows: list[tuple[bytes, bytes]] = []
+    for x in np.flatnonzero(outside & (~member | (i == j))).tolist():
+        # a pair of two outside classes is met in blocks (i, j) and (j, i), and twice in (i, i): once is enough
+        twice = outside & (np.arange(len(keys)) <= x) if i == j else outside & (i > j)
+        good = member & (cell == cell[x]) & ~twice & (root != root[x]) & (100 * np.minimum(n, n[x]) >= PERCENT * np.maximum(n, n[x]))
+        at = np.flatnonzero(good)
+        at = at[(sig[at] == sig[x]).sum(axis=1) >= ALIKE]
+        if not len(at):
+            continue
+        marked[number[first[x] : first[x + 1]]] = True
+        spans = np.append(0, np.cumsum(n[at]))
+        both = np.add.reduceat(marked[number[np.repeat(first[at] - spans[:-1], n[at]) + np.arange(spans[-1])]].astype(np.int64), spans[:-1])
+        marked[number[first[x] : first[x + 1]]] = False
+        at = at[100 * both >= PERCENT * (n[at] + n[x] - both)]
+        for y in at[np.unique(root[at], return_index=True)[1]].tolist():
+            rows.append((min(keys[x], keys[y]), max(keys[x], keys[y])))
+            root[root == root[y]] = root[x]
+    return pa.table([pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+
+def _closing(s: Scratch, classes: DataFrame, open_rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between components that meet in open buckets (h, key, root), all pairs looked at.
+
+    Buckets that share classes are one cell, so that a class is sent once for all of its buckets; only where such a group is
+    greater than GROUP shingles each bucket is a cell of its own. Each class that isn't in its cell's greatest component is compared with
+    all of the cell's classes, by blocks of about BLOCK shingles against each other, at most SIDES a side until blocks reach MOST.
+    Cells of one block are packed to about as much."""
+    least = open_rows.groupBy("h").agg(F.min("key").alias("b"))
+    edges = s.write(open_rows.join(least, "h").where("key <> b").select(F.col("key").alias("a"), "b"), "grouped")
+    groups = components(s, edges, "groups")
+    rows = open_rows.join(groups.select(F.col("node").alias("key"), F.col("root").alias("team")), "key").join(classes.select("key", "n"), "key")
+    rows = s.write(rows.select("h", "key", "root", "team", "n"), "teams")
+    heavy = rows.select("team", "key", "n").distinct().groupBy("team").agg(F.sum("n").alias("weight")).where(f"weight > {GROUP}").select("team", F.lit(True).alias("heavy"))
+    rows = rows.join(heavy, "team", "left").withColumn("cell", F.when(F.col("heavy"), F.xxhash64("team", "h")).otherwise(F.xxhash64("team")))
+    rows = s.write(rows.select("cell", "key", "root", "n").distinct(), "celled")
+    parts = rows.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w")).groupBy("cell")
+    parts = parts.agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.sum("w").alias("w"))
+    parts = parts.withColumn("blocks", F.greatest(F.least(F.ceil(F.col("w") / BLOCK), F.lit(SIDES)), F.ceil(F.col("w") / MOST)).cast("int"))
+    packs = max(1, -(-int(rows.agg(F.sum("n")).head()[0]) // BLOCK))
+    rows = rows.join(parts.select("cell", "main", "blocks"), "cell").withColumn("own", F.pmod(F.xxhash64("key", "cell"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("pack", F.when(F.col("blocks") == 1, F.pmod("cell", F.lit(packs))).otherwise(F.col("cell"))).withColumn("outside", F.col("root") != F.col("main"))
+    # as a member of its own block j with all i, and, if outside, in its own block i with all other j
+    to = F.struct(F.col("k").alias("i"), F.col("own").alias("j"), F.lit(True).alias("member"))
+    out = F.struct(F.col("own").alias("i"), F.col("k").alias("j"), F.lit(False).alias("member"))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("at", F.explode(F.when(F.col("outside") & (F.col("k") != F.col("own")), F.array(to, out)).otherwise(F.array(to))))
+    laid = rows.select("pack", "at.*", "cell", "key", "n", "root", "outside").join(classes.select("key", "sig"), "key").join(sets, "key").select(*LAID)
+    out = s.write(laid.groupBy("pack", "i", "j").applyInArrow(_linked, LINKS), "closing")
+    s.drop("grouped", "groups", "teams", "celled")
+    return out
 
 
 #: Most rows of keys that are sent to all tasks, 24 bytes each.
 BROADCAST_ROWS = 500_000
 
 
-def components(scratch: Scratch, edges: DataFrame, name: str, most: int = 100) -> DataFrame:
-    """(node, root) for every node of edges (a, b): root is the least node of its component.
+#: Edges that one task contracts.
+PART = 100_000
+
 
-    Alternates large-star and small-star steps until nothing changes, or after so many rounds, when equal
-    roots still mean one component. A node of many edges has its minimum pre-aggregated, and the join that
-    follows reads two written tables, so that skewed parts of it can be split."""
-    spark = scratch.spark
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the edges (u, v) of a task a star for each of their components: each node with the least one."""
+    parent: dict = {}
+
+    def find(x):
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p]
+        return x
+
+    kind = None
+    for b in batches:
+        kind = b.schema
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            x, y = find(x), find(y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    nodes = [x for x in parent if find(x) != x]
+    for i in range(0, len(nodes), 50_000):
+        some = nodes[i : i + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((some, [find(x) for x in some]), kind)], ["u", "v"])
+
+
+def components(scratch: Scratch, edges: DataFrame, name: str, most: int = 100, whole: bool = True) -> DataFrame:
+    """(node, root) for every node of the written edges (a, b) with a <> b: root is the least node of its component.
+
+    Tasks of at most PART edges contract these to stars. Large-star and small-star steps alternate, each round's
+    edges contracted again, until all edges are stars around least nodes; raises if that takes more than most rounds. Unless
+    whole: only contracts, and equal roots still mean one component, but not the other way round. A node of many
+    edges has its minimum pre-aggregated, and the join that follows reads two written tables, so that skewed parts of it can be split."""
     made: list[str] = []
 
     def write(df: DataFrame, what: str) -> DataFrame:
-        made.append(f"{name}-{what}")
-        return scratch.write(df, made[-1])
+        made.append(what)
+        return scratch.write(df, what)
 
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))).head())
+    def contracted(e: DataFrame, what: str) -> DataFrame:
+        return write(e.coalesce(max(1, -(-e.count() // PART))).mapInArrow(_contract, ", ".join(f"{c} {e.schema[0].dataType.simpleString()}" for c in "uv")), what)
 
-    e = write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "e0")
-    before = state(e)
-    for i in range(1, most + 1):
+    e = contracted(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v"), f"{name}/0")
+    for i in range(1, most + 1) if whole else ():
+        # a star forest: no node is a member twice, or a member and a centre
+        ends = F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("member")), F.struct(F.col("v").alias("x"), F.lit(0).alias("member")))).alias("p")
+        if not e.select(ends).select("p.*").groupBy("x").agg(F.sum("member").alias("n"), F.min("member").alias("least")).where("n > 1 or n = 1 and least = 0").head():
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"l{i}")
-        large = both.join(m, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = write(large, f"el{i}")
-        m = write(large.groupBy("u").agg(F.min("v").alias("m")), f"s{i}")
+        m = write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}/l{i}")
+        large = write(both.join(m, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"), f"{name}/el{i}")
+        m = write(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}/s{i}")
         pairs = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("p")
-        e = write(large.join(m, "u").select(pairs).select("p.u", "p.v").where("u <> v").distinct(), f"e{i}")
-        after = state(e)
-        scratch.drop(*(x for x in made if x != made[-1]))
+        small = write(large.join(m, "u").select(pairs).select("p.u", "p.v").where("u <> v"), f"{name}/es{i}")
+        e = contracted(small, f"{name}/{i}")
+        scratch.drop(*made[:-1])
         made = made[-1:]
-        if after == before:
-            break
-        before = after
-    roots = e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-    out = scratch.write(roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()).groupBy("node").agg(F.min("root").alias("root")), f"{name}-roots")
-    scratch.drop(*made)
-    del spark
-    return out
+    else:
+        if whole:
+            raise RuntimeError(f"components are not done after {most} rounds")
+    roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()).groupBy("node").agg(F.min("root").alias("root"))
 
 
-def _texts(d: DataFrame, asked: DataFrame) -> DataFrame:
-    """key and text of the classes asked for (key, rep): the text of a row with that id and that key."""
+def _sets_of(d: DataFrame, asked: DataFrame) -> DataFrame:
+    """key and set of the classes asked for (key, rep), from a row with that id and that key."""
     few = asked.count() <= BROADCAST_ROWS
     wanted = asked.where("rep is not null").withColumnRenamed("rep", "doc_id")
-    found = d.join(F.broadcast(wanted) if few else wanted, "doc_id").select("key", "text").mapInArrow(_keyed, "key binary, text string")
+    found = d.join(F.broadcast(wanted) if few else wanted, "doc_id").select("key", "text").mapInArrow(_sets, SETS)
     if asked.where("rep is null").head():  # classes of rows without an id, by their text's key
-        lost = d.where("doc_id is null").mapInArrow(_by_key, "key binary, text string").join(asked.where("rep is null").select("key"), "key", "left_semi")
-        found = found.unionByName(lost)
-    return found.groupBy("key").agg(F.first("text").alias("text"))
+        lost = d.where("doc_id is null").select(F.lit(None).cast("binary").alias("key"), "text").mapInArrow(_sets, SETS)
+        found = found.unionByName(lost.join(asked.where("rep is null").select("key"), "key", "left_semi"))
+    return found.groupBy("key").agg(F.first("shingles").alias("shingles"))
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -257,8 +321,15 @@ def link(docs: DataFrame) -> DataFrame:
     Texts that are null or without a word have an empty set, link with nothing and are their own component.
     Rows with equal sets are one component whatever their ids; its id is the least doc_id in it that isn't
     null. A repeated doc_id is kept as often as it occurs. Other columns are not carried."""
-    spark = docs.sparkSession
-    s = Scratch(spark)
+    signed, of, s = _rooted(docs)
+    named = of.join(of.groupBy("root").agg(F.min("rep").alias("component")), "root").select("key", "component")
+    out = signed.join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def _rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame, Scratch]:
+    """doc_id, n_shingles and key (of its set) of each row; key, rep (its least id) and root (of its component) of each class; both written."""
+    s = Scratch(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = s.write(d.mapInArrow(_sign, SIGNED), "signed")
     classes = s.write(
@@ -271,101 +342,75 @@ def link(docs: DataFrame) -> DataFrame:
     shared = rows.groupBy("h").count().where("count > 1").select("h")
     rows = s.write(rows.join(shared, "h"), "buckets")
     least = lambda j: F.min(F.struct(F.xxhash64("key", F.lit(j)).alias("o"), F.col("key").alias("k")))["k"]
-    leaders = s.write(rows.groupBy("h").agg(F.array_distinct(F.array(*(least(j) for j in range(LEADERS)))).alias("leaders")), "leaders")
+    leaders = s.write(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.array(*(least(j) for j in range(LEADERS)))).alias("leaders")), "leaders")
     pairs = rows.join(leaders, "h").select("key", F.explode("leaders").alias("leader")).where("key <> leader")
     pairs = pairs.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
     sig = lambda c: classes.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
-    near = s.write(pairs, "pairs").join(sig("a"), "a").join(sig("b"), "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
+    near = pairs.join(sig("a"), "a").join(sig("b"), "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
     near = s.write(near.select("a", "b", "sa", "sb").mapInArrow(_alike, "a binary, b binary, same long"), "near")
-    s.drop("pairs")
-    # texts of the classes that are still in question
-    asked = s.write(near.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "rep"), "key"), "asked")
-    texts = s.write(_texts(d, asked), "texts")
-    text = lambda c: texts.select(F.col("key").alias(c), F.col("text").alias(f"t{c}"))
-
-    def confirmed(p: DataFrame, name: str) -> DataFrame:
-        return s.write(p.select("a", "b").join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_confirm, "a binary, b binary"), name)
-
+    # sets of the classes that are in question: candidates, and all in buckets with pairs of classes that are no leaders
+    wide = leaders.where("n - size(leaders) > 1").select("h")
+    asked = near.select(F.explode(F.array("a", "b")).alias("key")).unionByName(rows.join(wide, "h").select("key")).distinct()
+    asked = s.write(asked.join(classes.select("key", "rep"), "key"), "asked")
+    sets = s.write(_sets_of(d, asked), "sets")
+    one = lambda c: sets.select(F.col("key").alias(c), F.col("shingles").alias(f"s{c}"))
     best = near.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y"), "same"), F.struct(F.col("b").alias("x"), F.col("a").alias("y"), "same"))).alias("p"))
     best = best.groupBy("p.x").agg(F.max(F.struct("p.same", "p.y"))["y"].alias("y"))
-    best = s.write(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "best")
-    first = confirmed(best, "first")
-    roots = components(s, first, "c1", 1)
+    best = best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    best = s.write(best.join(one("a"), "a").join(one("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_confirm, LINKS + ", good boolean"), "best")
+    links = best.where("good").select("a", "b")
+    roots = s.write(components(s, links, "c1"), "roots1")
+    # what is open: other candidates, and buckets where classes that were no leaders are in several components
     root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
     left = near.join(best, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left").where("not coalesce(ra = rb, false)")
-    second = confirmed(s.write(left.select("a", "b"), "left"), "second")
-    roots = components(s, first.unionByName(second), "c2")
-    # buckets where classes that were no leaders are in several components
-    root = roots.select(F.col("node").alias("key"), "root")
-    rooted = s.write(rows.join(root, "key", "left").select("h", "key", F.coalesce("root", "key").alias("root")), "members")
-    size = rooted.groupBy("h", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "root"))["root"].alias("main"))
-    size = size.where("parts > 1").join(leaders.select("h", F.size("leaders").alias("led")), "h").where("n - led > 1")
-    made = []
-    size = s.write(size.select("h", "main", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "open")
-    if size.head():
-        member = rooted.drop("root").join(size, "h").join(classes.select("key", "n", "sig", "bands"), "key")
-        member = s.write(member.withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")), "laid")
-        past, joined, links = None, None, first.unionByName(second)
-        # a round's candidates come behind those of the round before, so that each is confirmed once
-        for i in itertools.count():
-            now = lambda c, out: roots.select(F.col("node").alias(c), F.col("root").alias(out))
-            at = member.join(now("key", "root"), "key", "left").join(now("main", "lead"), "main", "left")
-            at = at.withColumn("root", F.coalesce("root", "key")).withColumn("lead", F.coalesce("lead", "main"))
-            outside = at.where("root <> lead").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-            if past is None:
-                outside = outside.withColumn("past", F.lit(None).cast("struct<same: long, other: binary>"))
-            else:
-                outside = outside.join(past, ["h", "chunk", "key"])
-            side = lambda d, *more: d.select("h", "chunk", "key", "root", "n", "sig", "bands", *more)
-            outside = s.write(side(outside, "past"), f"outside{i}")
-            found = outside.groupBy("h", "chunk").cogroup(side(at).groupBy("h", "chunk")).applyInArrow(_closest, CLOSE)
-            found = s.write(found, f"close{i}")
-            pairs = found.select("a", "b").distinct().join(near.select("a", "b"), ["a", "b"], "left_anti")
-            pairs = s.write(pairs, f"rest{i}")
-            if pairs.head():
-                asked = s.write(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "rep"), "key"), f"asked{i}")
-                texts = s.write(_texts(d, asked), f"texts{i}")
-                third = confirmed(pairs, f"third{i}")
-                if third.head():
-                    links = links.unionByName(third)
-                    if joined is not None:
-                        s.drop(joined)
-                    roots, joined = components(s, links, f"d{i}"), f"d{i}-roots"
-                    made.append(joined)
-                made.append(f"third{i}")
-                s.drop(f"asked{i}", f"texts{i}")
-            # those that got fewer than CLOSEST have no more
-            last = F.max(F.struct((-F.col("same")).alias("less"), "other")).alias("last")
-            past = found.groupBy("h", "chunk", "key").agg(F.count(F.lit(1)).alias("got"), last).where(f"got = {CLOSEST}")
-            past = s.write(past.select("h", "chunk", "key", F.struct((-F.col("last.less")).alias("same"), F.col("last.other").alias("other")).alias("past")), f"past{i}")
-            s.drop(f"outside{i}", f"close{i}", f"rest{i}", *([f"past{i - 1}"] if i else []))
-            if not past.head():
-                s.drop(f"past{i}")
-                break
-    s.drop("buckets", "leaders", "near", "asked", "texts", "best", "first", "second", "left", "c1-roots", "members", "open", "laid")
+    left = left.select(F.xxhash64("a", "b").alias("h"), F.explode(F.array(F.struct(F.col("a").alias("key"), F.coalesce("ra", "a").alias("root")), F.struct(F.col("b").alias("key"), F.coalesce("rb", "b").alias("root")))).alias("p")).select("h", "p.*")
+    rooted = s.write(rows.join(wide, "h").join(roots.withColumnRenamed("node", "key"), "key", "left").select("h", "key", F.coalesce("root", "key").alias("root")), "wide")
+    parted = rooted.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
+    open_rows = s.write(rooted.join(parted, "h").unionByName(left), "open")
+    if open_rows.head():
+        third = _closing(s, classes, open_rows, sets)
+        roots = components(s, links.unionByName(third), "c2")
+    s.drop("buckets", "leaders", "near", "asked", "sets", "wide", "open")
     # a class stands for itself unless it is in a component
     of = classes.select("key", "rep").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
     of = s.write(of, "rooted")
-    ids = s.write(of.groupBy("root").agg(F.min("rep").alias("component")), "ids")
-    named = s.write(of.join(ids, "root").select("key", "component"), "named")
-    s.drop("classes", "rooted", "ids", "c2-roots", *made)
-    out = signed.join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    s.drop("classes", "best", "c1", "roots1", "closing", "c2")
+    return signed, of, s
 
 
-def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in rows_of(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([key_of(shingles(t.as_py())) for t in b.column(1)], pa.binary()), b.column(1)], ["key", "text"])
+        keys = pa.array([key_of(shingles(t.as_py())) for t in b.column(3)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], keys], ["row", "id", "o", "key"])
+
+
+def _hashed(docs: DataFrame) -> Column:
+    """A hash of all columns; maps have no hash of their own and count as JSON."""
+    return F.xxhash64(*(F.to_json(F.array(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields))
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """The rows, with all their columns, of one document of each component: that of the least id.
-
-    Of rows that repeat an id one whole row stays, the least by its columns' hash; rows without an id stay."""
-    names = docs.columns
-    keep = link(docs).where("kept").select("doc_id").distinct()
-    if "__order" in names:
-        raise ValueError("the column __order is reserved")
-    some = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi")
-    one = some.groupBy("doc_id").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in names)), F.xxhash64(*(F.col(f"`{c}`") for c in names))).alias("__row"))
-    return one.select("__row.*").unionByName(docs.where("doc_id is null"))
+    """The rows, with all their columns, of one document of each component: that of the least id that isn't null.
+
+    Of several such rows one whole row stays, the least by its columns' hash; of a component without any id one row stays as well.
+    Rows of one id with different texts are told apart by their texts. Of texts without a word one row stays for each
+    id, and all that have no id."""
+    signed, of, s = _rooted(docs)
+    chosen = of.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "key")).alias("c")).select("c.rep", "c.key")
+    chosen = s.write(chosen, "chosen")
+    # an id with rows of one class needs no look at the text
+    several = signed.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min("key").alias("x"), F.max("key").alias("y"), F.min(F.col("key").isNull()).alias("blank"), F.max(F.col("key").isNull()).alias("some"))
+    several = s.write(several.where("x <> y or some").select("id", "blank"), "several")
+    mixed = several.where("not blank").select("id")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t"), _hashed(docs).alias("o"))
+    asked = chosen.where("rep is not null").select(F.col("rep").alias("id")).join(mixed, "id", "left_anti").unionByName(several.where("blank").select("id"))
+    one = lambda d, *by: d.groupBy(*by).agg(F.min_by("row", "o").alias("row")).select("row.*")
+    out = one(rows.select("id", "row", "o").join(asked, "id", "left_semi"), "id")
+    few = rows.where("id is null").unionByName(rows.join(mixed, "id", "left_semi").select(rows.columns))
+    schema = T.StructType([*(rows.schema[c] for c in ("row", "id", "o")), T.StructField("key", T.BinaryType())])
+    few = few.select("row", "id", "o", "t").mapInArrow(_keys, schema)
+    stay = few.where("key is not null").join(chosen.withColumnRenamed("rep", "of"), "key").where("id <=> of")
+    blank = few.where("key is null")
+    out = out.unionByName(one(stay, "key")).unionByName(one(blank.where("id is not null"), "id")).unionByName(blank.where("id is null").select("row.*"))
+    return out
