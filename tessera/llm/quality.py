@@ -8,12 +8,13 @@ alone, needs the bits only.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import rows_of, words
 
@@ -81,11 +82,10 @@ def measure(text: str | None) -> tuple[int, ...]:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of columns (row, text): row and the measures of the text."""
     for b in rows_of(batches):
-        at = b.schema.get_field_index("__text")
-        cols = list(zip(*(measure(t.as_py()) for t in b.column(at)))) or [()] * len(MEASURES)
-        rest = [n for n in b.schema.names if n != "__text"]
-        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in rest), *(pa.array(c, pa.int64()) for c in cols)], [*rest, *MEASURES])
+        cols = list(zip(*(measure(t.as_py()) for t in b.column(1)))) or [()] * len(MEASURES)
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols)], ["row", *MEASURES])
 
 
 def bits() -> Column:
@@ -96,14 +96,29 @@ def bits() -> Column:
     return e
 
 
+def _ledger(docs: DataFrame, carried: Sequence[str], text_col: str) -> DataFrame:
+    """row (a struct of the carried columns, so that no name of theirs clashes), MEASURES and fail_bits of each row."""
+    # a struct of no columns is none
+    row = F.struct(*(F.col(f"`{c}`") for c in carried)) if carried else F.lit(True)
+    rows = docs.select(row.alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    schema = T.StructType([rows.schema["row"], *(T.StructField(m, T.LongType()) for m in MEASURES)])
+    return rows.mapInArrow(_measured, schema).withColumn("fail_bits", bits())
+
+
 def ledger(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """keep, MEASURES and fail_bits for each row.
+    """keep, MEASURES and fail_bits for each row; a kept column may not be named as one of these.
 
     Null and empty texts measure 0 throughout and fail few_words. Rows are neither merged nor dropped;
-    columns that are not in keep are not carried, so that none can clash."""
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{m} long" for m in MEASURES)])
-    measured = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(_measured, schema)
-    return measured.withColumn("fail_bits", bits())
+    columns that are not in keep are not carried."""
+    if clash := {*keep} & {*MEASURES, "fail_bits"}:
+        raise ValueError(f"columns of the ledger: {sorted(clash)}")
+    return _ledger(docs, keep, text_col).select(*(F.col(f"row.`{c}`") for c in keep), *MEASURES, "fail_bits")
+
+
+def store(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ledger, written once to a folder that policies and ablations then read."""
+    ledger(docs, keep).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
 
 def verdict(version: int) -> Column:
@@ -131,9 +146,9 @@ VERSION = 2
 
 def judged(docs: DataFrame, version: int = VERSION) -> DataFrame:
     base = F.col("fail_bits").bitwiseAND(F.lit(mask(1))) != 0
-    return ledger(docs).select("doc_id", *MEASURES[:5], base.alias("base_failed"), (~base & verdict(version)).alias("kept"), "fail_bits")
+    return ledger(docs).select("doc_id", *MEASURES[:5], base.alias("base_failed"), (~base & verdict(version)).alias("kept"), "fail_bits", *MEASURES[5:])
 
 
 def kept(docs: DataFrame, version: int = VERSION) -> DataFrame:
-    """The rows, with all their columns, that the policy keeps."""
-    return ledger(docs, tuple(docs.columns)).where(verdict(version)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows, with all their columns, that the policy keeps; they may have any names, also those of measures."""
+    return _ledger(docs, docs.columns, "text").where(verdict(version)).select("row.*")

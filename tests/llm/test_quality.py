@@ -29,7 +29,7 @@ def test_ledger_and_ablation(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string, source string, n_words int")
     out = {r.doc_id: r for r in quality.judged(d).collect()}
     assert len(out) == len(TEXTS) + 2 and out[99].kept and not out[8].kept and out[8].base_failed
-    assert quality.kept(d.drop("n_words")).collect() == [(99, rows[-1][1], "y")]
+    assert quality.kept(d).collect() == [rows[-1]]
     led = quality.ledger(d).cache()
     ab = {r.rule: r for r in quality.ablation(led, 2).collect()}
     bits = [r.fail_bits for r in led.collect()]
@@ -39,3 +39,13 @@ def test_ledger_and_ablation(spark):
         assert r.n_kept_without == sum(b & others == 0 for b in bits)
         assert r.n_only == sum(b & quality.mask(2) == quality.BIT[rule] for b in bits)
     assert quality.judged(d.limit(0)).count() == 0
+
+
+def test_clashing_columns_and_stored_ledger(spark, tmp_path):
+    text = " ".join(f"wort{i}" for i in range(50))
+    d = spark.createDataFrame([(1, text, 5, 6, "t", "r", {"a": 1}), (2, "x", 7, 8, "u", "s", None)], "doc_id long, text string, fail_bits int, n_lines int, __text string, row string, m map<string, int>")
+    assert quality.kept(d).collect() == d.where("doc_id = 1").collect()
+    with pytest.raises(ValueError):
+        quality.ledger(d, ("doc_id", "fail_bits"))
+    led = quality.store(d, f"{tmp_path}/ledger")
+    assert quality.ablation(led, 1).count() == 2 and led.where(quality.verdict(2)).select("doc_id").collect() == [(1,)]
