@@ -9,7 +9,7 @@ if enough of its word shingles stand in the passage, of its question and of its
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from math import log
 
 import numpy as np
@@ -31,8 +31,8 @@ BLOCK = 8
 MAX_BLOCKS = 32
 #: Entries of the tables by term and block.
 MAX_TABLE = 1 << 24
-#: Pairs of a passage and a block that are scored at a time.
-PAIRS = 20_000
+#: Scores of pairs of a passage and a block that are held at a time.
+CELLS = 4_000_000
 #: Bytes of items that an index holds; more are taken in several rounds.
 MAX_INDEX = 32 << 20
 
@@ -49,23 +49,38 @@ def _distinct(x: np.ndarray) -> np.ndarray:
     return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
+class Statistics:
+    """Of all items of a class of lengths, however many indexes hold them: their number, words, and items by term."""
+
+    def __init__(self, items: Iterable[list[bytes]] = ()):
+        self.items, self.words, self.df = 0, 0, Counter()
+        for ws in items:
+            self.add(ws)
+
+    def add(self, ws: list[bytes]) -> None:
+        self.items += 1
+        self.words += len(ws)
+        self.df.update(set(ws))
+
+
 class Index:
     """Items of one class of lengths (at most half words), and their weights by term."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], half: int):
+    def __init__(self, items: list[tuple[int, list[bytes]]], half: int, of: Statistics | None = None):
+        of = of or Statistics(ws for _, ws in items)
         self.half = half
         self.ids = [i for i, _ in items]
         self.vocab: dict[bytes, int] = {}
         coded = [[self.vocab.setdefault(w, len(self.vocab)) for w in ws] for _, ws in items]
         n, v = len(items), len(self.vocab)
         self.size = v
-        df = Counter(t for c in coded for t in set(c))
-        mean = sum(map(len, coded)) / n
+        df = {t: log(1 + (of.items - (m := of.df[w]) + 0.5) / (m + 0.5)) for w, t in self.vocab.items()}
+        mean = of.words / of.items
         self.blocks = min(MAX_BLOCKS, -(-n // BLOCK), max(1, MAX_TABLE // v))
         self.block_of = np.arange(n) * self.blocks // n
         rows = []
         for k, c in enumerate(coded):
-            own = {t: log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(c) / mean)) for t, f in Counter(c).items()}
+            own = {t: df[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(c) / mean)) for t, f in Counter(c).items()}
             limit = RETRIEVE * sum(own.values())
             rows += [(t, k, w / limit) for t, w in own.items()]
         rows.sort()
@@ -116,8 +131,9 @@ class Index:
         first = np.searchsorted(half[at], np.arange(base[-1] + 1))
         found: dict[tuple[int, int], tuple[float, float, float]] = {}
         # passages in slices, so that what is laid out side by side stays bounded
-        for i in range(0, len(hit), PAIRS):
-            for p, items, score in self._score(hit[i : i + PAIRS], block[i : i + PAIRS], last, starts[first], term):
+        step = max(1, CELLS // self.widest)
+        for i in range(0, len(hit), step):
+            for p, items, score in self._score(hit[i : i + step], block[i : i + step], last, starts[first], term):
                 self._verify(p, items, score, base, last, coded, found)
         for (t, k), x in sorted(found.items()):
             yield t, self.ids[k], *x
@@ -165,16 +181,21 @@ class Index:
                     found[t, k] = new
 
 
-def indexes(items: list[tuple[int, str | None]]) -> list[Index]:
-    """One for each class of lengths: passages of HALF, twice that, and so on. Items without a term are left out."""
+def half_of(ws: list[bytes]) -> int:
+    """Its class of lengths: passages of HALF, twice that, and so on."""
+    half = HALF
+    while half < len(ws):
+        half *= 2
+    return half
+
+
+def indexes(items: list[tuple[int, str | None]], of: dict[int, Statistics] | None = None) -> list[Index]:
+    """One for each class of lengths. Items without a term are left out. of: the statistics by class, where these are not all items."""
     by: dict[int, list] = {}
     for i, text in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")):
         if w := terms(text):
-            half = HALF
-            while half < len(w):
-                half *= 2
-            by.setdefault(half, []).append((i, w))
-    return [Index(x, half) for half, x in sorted(by.items())]
+            by.setdefault(half_of(w), []).append((i, w))
+    return [Index(x, half, of and of[half]) for half, x in sorted(by.items())]
 
 
 def leaks_in(texts: list[str | None], of: list[Index]) -> list[tuple[int, int, float, float, float]]:
@@ -186,13 +207,21 @@ def leaks_in(texts: list[str | None], of: list[Index]) -> list[tuple[int, int, f
     return sorted(out)
 
 
-def _rounds(bench: DataFrame) -> list[list[Index]]:
-    """Benchmark items in rounds of at most MAX_INDEX bytes, indexed."""
+def _rounds(bench: DataFrame) -> Iterator[list[Index]]:
+    """Benchmark items in rounds of at most about MAX_INDEX bytes, indexed one after the other; scores are the same in any number of rounds.
+
+    The driver holds the items of one round, and the number of items of each term."""
     b = bench.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
-    size = b.agg(F.sum(F.octet_length("text") + 16)).head()[0] or 0
-    n = 1 + size // MAX_INDEX
+    n = 1 + (b.agg(F.sum(F.octet_length("text") + 16)).head()[0] or 0) // MAX_INDEX
+    of: dict[int, Statistics] | None = None
+    if n > 1:
+        of = {}
+        for r in b.select("text").toLocalIterator():
+            if ws := terms(r.text):
+                of.setdefault(half_of(ws), Statistics()).add(ws)
     part = F.pmod(F.xxhash64("text"), F.lit(n))
-    return [indexes([(r.item_id, r.text) for r in b.where(part == i).collect()]) for i in range(n)]
+    for i in range(n):
+        yield indexes([(r.item_id, r.text) for r in b.where(part == i).collect()], of)
 
 
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
