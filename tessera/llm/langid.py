@@ -16,14 +16,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._common import remainder, rows_of
 
-#: The bounded sample that automata are built from: texts a language, characters of each, bytes a
-#: language, and bytes of all tables together (with many languages each gets less).
-SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_BYTES, TABLE_BYTES = 400, 4000, 60_000, 128 << 20
-#: Phrases end at multiples of so many bytes, so that long texts can be read in pieces side by side.
-PIECE = 512
+#: The bounded sample that automata are built from: whole texts a language, and bytes of these a language and of all languages
+#: together (with many languages each has an equal part). A language whose every text is longer has its shortest one.
+SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_TOTAL = 400, 60_000, 1_200_000
+#: Long texts are read in pieces of so many bytes side by side, which are then joined to what one reading would give.
+PIECE = 1024
 SPACE = 32
 #: Bytes as they are read: letters lower-cased, other ASCII as one space; the rest as it is.
 READ = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else SPACE for b in range(256)], np.uint8)
@@ -81,10 +82,9 @@ class Model:
             seen[np.frombuffer(t, np.uint8)] = True
         self.classes = np.where(seen, np.cumsum(seen), 0).astype(np.uint8)
         self.size = int(seen.sum()) + 1
-        most = TABLE_BYTES // max(1, len(texts)) // (2 * self.size * 4)
         self.tables, self.weights = [], []
         for lang in self.langs:
-            raw = texts[lang][:most]
+            raw = texts[lang]
             steps = suffix_automaton(self.classes[np.frombuffer(raw, np.uint8)].tolist(), self.size)
             root = np.maximum(steps[0], 0)
             rows = np.where(steps >= 0, steps * self.size * 2, root * self.size * 2 + 1)
@@ -104,24 +104,63 @@ class Model:
             return out
         n = np.array([len(p) for p in pieces])
         order = np.argsort(-n, kind="stable")
-        n, owner = n[order], np.array(owner)[order]
-        grid = np.zeros((len(pieces), n[0]), np.uint8)
-        for row, k in enumerate(order):
-            grid[row, : n[row]] = pieces[k]
-        grid = np.ascontiguousarray(grid.T)
+        lane = np.empty(len(order), np.int64)
+        lane[order] = np.arange(len(order))
+        n, owner = n[order], np.array(owner)
+        grid = np.zeros((n[0], len(pieces)), np.uint8)
+        for row, k in enumerate(order.tolist()):
+            grid[: n[row], row] = pieces[k]
         alive = np.searchsorted(-n, -np.arange(1, n[0] + 1), side="right")  # pieces with more than i bytes
+        seams = np.flatnonzero(owner[1:] == owner[:-1])
         for j, t in enumerate(self.tables):
-            state = np.zeros(len(pieces), np.int32)
-            count = np.ones(len(pieces), np.int32)
-            for i in range(n[0]):
-                k = alive[i]
-                x = t[state[:k] + grid[i, :k]]
-                count[:k] += x & 1
-                state[:k] = x >> 1
-            # the first byte of a piece, unless it is nowhere in the language, does not begin a second phrase
-            np.add.at(out[:, j], owner, count)
+            out[:, j], apart = self._count(t, grid, alive, lane, owner, seams, n, len(texts))
+            for i in apart.tolist():
+                out[i, j] = self._read(t, codes[i])
         return out
 
+    @staticmethod
+    def _read(t: np.ndarray, x: np.ndarray) -> int:
+        """Phrases of one text, read from its start."""
+        get, state, count = t.item, 0, 1
+        for i, c in enumerate(x.tolist()):
+            step = get(state + c)
+            count += step & 1 if i else 0
+            state = step >> 1
+        return count
+
+    @staticmethod
+    def _count(t: np.ndarray, grid: np.ndarray, alive: np.ndarray, lane: np.ndarray, owner: np.ndarray, seams: np.ndarray, n: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases of each text, and the texts whose pieces could not be joined.
+
+        Each piece is read as if a phrase began with it. Then the reading of the piece before goes on in it, until a phrase of both begins
+        at one place: from there on they are the same, and only the phrases before that place are exchanged."""
+        state = np.zeros(grid.shape[1], np.int32)
+        begins = np.zeros(grid.shape, bool)
+        for i in range(len(grid)):
+            k = alive[i]
+            x = t[state[:k] + grid[i, :k]]
+            begins[i, :k] = x & 1
+            state[:k] = x >> 1
+        begins[0] = True
+        count = np.zeros(texts, np.int64)
+        np.add.at(count, owner, begins.sum(axis=0)[lane])
+        apart = np.zeros(0, np.int64)
+        if len(seams):
+            at, text, now = lane[seams + 1], owner[seams], state[lane[seams]]
+            for i in range(len(grid)):
+                ended = n[at] <= i
+                apart = np.append(apart, text[ended])
+                at, text, now = at[~ended], text[~ended], now[~ended]
+                if not len(at):
+                    break
+                x = t[now + grid[i, at]]
+                mine, its = (x & 1).astype(bool), begins[i, at]
+                np.add.at(count, text, mine.astype(np.int64) - its)
+                going = ~(mine & its)
+                at, text, now = at[going], text[going], (x >> 1)[going]
+            apart = np.unique(np.append(apart, text))
+        return count, apart
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         lang, score = ["und"] * len(texts), [0.0] * len(texts)
         use = [i for i, t in enumerate(texts) if t and has_letter(t)] if self.langs else []
@@ -139,22 +178,27 @@ def learn(docs: DataFrame) -> Model:
     """From the bounded sample of rows with text and a language (columns text and lang).
 
     Which texts are taken depends on their hashes alone; copies count once, so no source of many copies fills the sample."""
-    known = docs.where("text is not null and lang is not null")
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    known = docs.where("text is not null and lang is not null").select("lang", "text", F.xxhash64("text").alias("place"), F.octet_length("text").alias("size"))
+    counts = known.select("lang", "place").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).cache()
+    langs = counts.count()
+    if not langs:
         return Model({})
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1_000_000, 2_000_000 * SAMPLE_ROWS // n + 1))).otherwise(share)
-    place = F.xxhash64("text").alias("place")
-    few = known.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).select("lang", place, F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    few = few.groupBy("lang", "place").agg(F.min("text").alias("text"))
-    taken = few.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("place", "text"))), 1, SAMPLE_ROWS)["text"].alias("texts"))
-    texts = {}
-    for r in taken.toLocalIterator():
-        joined = normal(" ".join(r.texts).encode("utf-8", "surrogatepass")).tobytes()
-        texts[r.lang] = joined[:SAMPLE_BYTES]
-    return Model(texts)
+    most = min(SAMPLE_BYTES, SAMPLE_TOTAL // langs)
+    # about twice as many as are wanted, then the first ones that fit
+    share = (F.lit(2 * SAMPLE_ROWS) / F.col("n") * 1_000_000).cast("long") + 1
+    some = known.join(counts, "lang").where(F.pmod("place", F.lit(1_000_000)) < share).where(F.col("size") <= most)
+    some = some.groupBy("lang", "place").agg(F.first("text").alias("text"), F.first("size").alias("size"))
+    w = Window.partitionBy("lang").orderBy("place")
+    some = some.withColumn("upto", F.sum(F.col("size") + 1).over(w)).withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= SAMPLE_ROWS) & (F.col("upto") <= most))
+    texts: dict[str, list[str]] = {}
+    for r in some.select("lang", "place", "text").orderBy("lang", "place").toLocalIterator():
+        texts.setdefault(r.lang, []).append(r.text)
+    if len(texts) < langs:
+        rest = known.where(~F.col("lang").isin(list(texts))) if texts else known
+        for r in rest.groupBy("lang").agg(F.min(F.struct("size", "place", "text"))["text"].alias("text")).toLocalIterator():
+            texts[r.lang] = [r.text]
+    counts.unpersist()
+    return Model({k: normal(" ".join(v).encode("utf-8", "surrogatepass")).tobytes() for k, v in texts.items()})
 
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -165,7 +209,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
     Learns from rows with text and lang that are not held out; a prediction sees the text only. Null texts
     and those without a letter are und with score 0, as is everything if no language could be learned. The
-    score is one minus the ratio of the best cost to the second (1 if there is one language). Rows are
+    score is one minus the ratio of the best cost to the second (1 if there is one language); of equal costs the first language by
+    name wins, with score 0. Rows are
     neither merged nor dropped, other columns not carried."""
     d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), (remainder(F.col("doc_id"), 4) == 2).alias("held_out"))
     model = d.sparkSession.sparkContext.broadcast(learn(d.where("not held_out")))

@@ -1,34 +1,47 @@
+import random
 import zlib
 
 import numpy as np
+import pytest
 
 from tessera.llm import langid
 
 
-def brute(text, learned, piece=langid.PIECE):
-    """Longest phrases by substring search; a byte that the language doesn't have ends a phrase."""
+def brute(text, learned):
+    """Longest phrases by substring search; a byte that the language doesn't have begins a phrase and is not looked for."""
     x = langid.normal(text.encode()).tobytes()
-    n = 0
-    for at in range(0, len(x), piece):
-        part, n, cur = x[at : at + piece], n + 1, b""
-        for i in range(len(part)):
-            c = part[i : i + 1]
-            if cur + c in learned:
-                cur += c
-            else:
-                n, cur = n + 1, c if c in learned else b""
+    n, cur = 0, b""
+    for i in range(len(x)):
+        c = x[i : i + 1]
+        if i and cur + c in learned:
+            cur += c
+        else:
+            n, cur = n + 1, c if c in learned else b""
     return n
 
 
-def test_phrases_equal_substring_search():
+@pytest.mark.parametrize("piece", [langid.PIECE, 16, 5])
+def test_phrases_equal_substring_search(monkeypatch, piece):
+    monkeypatch.setattr(langid, "PIECE", piece)
     learned = {"a": b"the cat sat on the mat and the hat ", "b": "der hund über die straße und ".encode()}
     m = langid.Model(learned)
-    texts = ["the mat", "über den hund!!! 12", "zzz", "The CAT sat " * 200, "é"]
+    r = random.Random(2)
+    texts = ["the mat", "über den hund!!! 12", "zzz", "The CAT sat " * 200, "é", "".join(learned["a"].decode() for _ in range(9)), " ".join(r.choice("the cat hat und die der sat straße x".split()) for _ in range(900))]
     got = m.phrases([t.encode() for t in texts])
     assert got.tolist() == [[brute(t, learned[k]) for k in m.langs] for t in texts]
     assert m.predict(["the hat", None, "12 !", "", "über"])[0] == ["a", "und", "und", "und", "b"]
 
 
+def test_whole_texts_are_sampled(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 120)
+    rows = [("en", "the cat sat on the mat " * 2)] * 3 + [("en", "a dog ran home " * 2), ("de", "der hund " * 99), ("de", "die lange straße " * 50)]
+    d = spark.createDataFrame(rows, "lang string, text string")
+    m = langid.learn(d)
+    assert m.langs == ["de", "en"]
+    # of en both texts, once each; of de, where none fits, the shortest one whole
+    assert [round(np.exp(w)) for w in m.weights] == [len("der hund " * 99), 76]
+
+
 def test_automaton_has_all_substrings():
     codes = np.random.default_rng(1).integers(0, 3, 60).tolist()
     t = langid.suffix_automaton(codes, 3)
