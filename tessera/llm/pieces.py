@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ SPACE = "▁"
 CACHE = 300_000
 #: Characters of the text that is indexed at a time.
 PART = 400_000
+#: Units of more characters are relaxed with a heap each, the others side by side in rounds.
+LONG = 200
 
 
 class Vocabulary:
@@ -171,6 +174,10 @@ class Matcher:
 
         weigh(places)
         left = np.arange(-1, n - 1)
+        for i in np.flatnonzero(sizes > LONG).tolist():
+            a, b = int(ends[i] - sizes[i]), int(ends[i])
+            size[a:b], symbol[a:b] = self._relax(table[a * top : b * top], symbol[a:b])
+            rank[a:b] = none
         while len(live := np.flatnonzero(rank < none)):
             # places ascend, so the first of a unit's best is its left one
             u = unit_of[live]
@@ -201,6 +208,37 @@ class Matcher:
             out[i] = np.array(spelled, "<i4").tobytes()
         return out
 
+    def _relax(self, table: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes (0: part of the symbol before) and pieces of the symbols of one unit, whose edges are given by place."""
+        n, top, look, ranks = len(symbol), self.v.longest, table.item, self.v.ranks.tolist()
+        size, piece = [1] * n, symbol.tolist()
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+
+        def pair(at: int) -> tuple[int, int, int, int] | None:
+            """rank, place, size and piece of a symbol with the next one."""
+            nxt = right[at]
+            if nxt >= n or (long := size[at] + size[nxt]) > top:
+                return None
+            p = look(at * top + long - 1)
+            return (ranks[p], at, long, p) if p >= 0 else None
+
+        heap = [x for at in range(n) if (x := pair(at))]
+        heapify(heap)
+        while heap:
+            _, at, long, p = heappop(heap)
+            # pairs that changed since have another size, or their symbol is gone
+            if not size[at] or right[at] >= n or size[at] + size[right[at]] != long:
+                continue
+            gone = right[at]
+            size[at], size[gone], piece[at] = long, 0, p
+            right[at] = nxt = right[gone]
+            if nxt < n:
+                left[nxt] = at
+            for k in (left[at], at):
+                if k >= 0 and (x := pair(k)):
+                    heappush(heap, x)
+        return np.array(size), np.array(piece)
+
     def spell(self, char: str) -> list[int]:
         raw = char.encode("utf-8", "surrogatepass")
         return [self.v.byte_ids[b] for b in raw] if all(b in self.v.byte_ids for b in raw) else [self.v.unknown]

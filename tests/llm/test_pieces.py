@@ -1,3 +1,6 @@
+import random
+import time
+
 import numpy as np
 import pytest
 import sentencepiece
@@ -27,6 +30,17 @@ def test_equals_the_library_and_goes_round(spark, codec):
     assert codec.decode(codec.encode(["a▁b"])[0]) == "a b"
 
 
+def test_a_million_letters_without_a_space(codec):
+    r = random.Random(1)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(400)]
+    text = "".join(r.choice(words) for _ in range(190_000))[:1_000_000]
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    at = time.time()
+    got = codec.encode([text])[0]
+    assert time.time() - at < 60
+    assert ids(got) == sp.encode(text) and codec.decode(got) == text
+
+
 def test_edges_are_all_occurrences(codec):
     text = "the\0 then\0théa\0 international\0 internationalx\0".replace(" ", pieces.SPACE)
     codes = np.array([ord(c) for c in text])
