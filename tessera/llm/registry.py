@@ -78,14 +78,15 @@ f AS (SELECT *, n_words < 20 AS f0, 100 * n_repeat_words > 30 * n_words AS f1, 1
              word_chars > 15 * n_words OR word_chars < 2 * n_words AS f6 FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f0 OR f1 AS base_failed,
        NOT (f0 OR f1 OR f2 OR f3 OR f4 OR f5 OR f6) AS kept,
-       CAST(f0::INT + 2 * f1::INT + 4 * f2::INT + 8 * f3::INT + 16 * f4::INT + 32 * f5::INT + 64 * f6::INT AS BIGINT) AS fail_bits
+       CAST(f0::INT + 2 * f1::INT + 4 * f2::INT + 8 * f3::INT + 16 * f4::INT + 32 * f5::INT + 64 * f6::INT AS BIGINT) AS fail_bits,
+       CAST(n_lines AS BIGINT) AS n_lines, CAST(n_exclaims AS BIGINT) AS n_exclaims, CAST(n_upper AS BIGINT) AS n_upper, CAST(n_letters AS BIGINT) AS n_letters
 FROM f
 """
 
 ORACLES["op2_url_filter"] = r"""
 WITH u AS (SELECT row_number() OVER () AS rid, page_id, url, strpos(coalesce(url, ''), '://') AS pos FROM pages),
 p AS (SELECT rid, page_id,
-             CASE WHEN pos > 0 THEN lower(regexp_extract(substr(url, pos + 3), '^[^/?#]*')) ELSE '' END AS host,
+             CASE WHEN pos > 0 THEN translate(regexp_extract(substr(url, pos + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
              CASE WHEN pos > 0 THEN regexp_extract(substr(url, pos + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM u),
 r AS (SELECT * FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
                             ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) AS t(act, rh, rp)),
