@@ -29,7 +29,7 @@ BANDS, ROWS = 32, 4
 MINIMA = BANDS * ROWS
 LEADERS = 4
 #: Shingles of a block of the closing pass at first, blocks a side until they grow, and most shingles of a block and of a group that is one cell.
-BLOCK, SIDES, MOST = 32_000, 12, 4_000_000
+BLOCK, SIDES, MOST = 48_000, 8, 4_000_000
 GROUP = SIDES * MOST
 #: Equal bytes of two signatures, of MINIMA: five standard deviations below the threshold.
 ALIKE = int(MINIMA * 0.75 - 5 * (MINIMA * 0.75 * 0.25) ** 0.5)
@@ -214,11 +214,15 @@ def _closing(s: Scratch, classes: DataFrame, open_rows: DataFrame, sets: DataFra
     least = open_rows.groupBy("h").agg(F.min("key").alias("b"))
     edges = s.write(open_rows.join(least, "h").where("key <> b").select(F.col("key").alias("a"), "b"), "grouped")
     groups = components(s, edges, "groups")
-    rows = open_rows.join(groups.select(F.col("node").alias("key"), F.col("root").alias("team")), "key").join(classes.select("key", "n"), "key")
-    rows = s.write(rows.select("h", "key", "root", "team", "n"), "teams")
-    heavy = rows.select("team", "key", "n").distinct().groupBy("team").agg(F.sum("n").alias("weight")).where(f"weight > {GROUP}").select("team", F.lit(True).alias("heavy"))
-    rows = rows.join(heavy, "team", "left").withColumn("cell", F.when(F.col("heavy"), F.xxhash64("team", "h")).otherwise(F.xxhash64("team")))
-    rows = s.write(rows.select("cell", "key", "root", "n").distinct(), "celled")
+    rows = open_rows.select("key", "root").distinct().join(groups.select(F.col("node").alias("key"), F.col("root").alias("team")), "key").join(classes.select("key", "n"), "key")
+    rows = s.write(rows.select("key", "root", "team", "n"), "teams")
+    heavy = s.write(rows.groupBy("team").agg(F.sum("n").alias("weight")).where(f"weight > {GROUP}").select("team"), "heavy")
+    light = rows.select(F.xxhash64("team").alias("cell"), "key", "root", "n", "team")
+    if heavy.head():
+        split = rows.join(heavy, "team", "left_semi").join(open_rows.select("h", "key"), "key").select(F.xxhash64("team", "h").alias("cell"), "key", "root", "n")
+        rows = s.write(light.join(heavy, "team", "left_anti").drop("team").unionByName(split.distinct()), "celled")
+    else:
+        rows = light.drop("team")
     parts = rows.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w")).groupBy("cell")
     parts = parts.agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.sum("w").alias("w"))
     parts = parts.withColumn("blocks", F.greatest(F.least(F.ceil(F.col("w") / BLOCK), F.lit(SIDES)), F.ceil(F.col("w") / MOST)).cast("int"))
@@ -232,7 +236,7 @@ def _closing(s: Scratch, classes: DataFrame, open_rows: DataFrame, sets: DataFra
     rows = rows.withColumn("at", F.explode(F.when(F.col("outside") & (F.col("k") != F.col("own")), F.array(to, out)).otherwise(F.array(to))))
     laid = rows.select("pack", "at.*", "cell", "key", "n", "root", "outside").join(classes.select("key", "sig"), "key").join(sets, "key").select(*LAID)
     out = s.write(laid.groupBy("pack", "i", "j").applyInArrow(_linked, LINKS), "closing")
-    s.drop("grouped", "groups", "teams", "celled")
+    s.drop("grouped", "groups", "teams", "heavy", "celled")
     return out
 
 
