@@ -6,6 +6,7 @@ value back, unlike no record; so values travel in structs and become missing onl
 from __future__ import annotations
 
 import ast
+import copy
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -83,15 +84,19 @@ def _versions(events: DataFrame, records: DataFrame, field: str) -> DataFrame:
     return hit.groupBy("instrument", "event", "ord").agg(F.max_by(F.struct("value"), "ann_date")["value"].alias("value"))
 
 
-def on_calendar(events: DataFrame, grid: DataFrame) -> DataFrame:
-    """instrument, datetime, value: the last event's value on or before each calendar row.
+def on_calendar(series: dict[str, DataFrame], grid: DataFrame) -> DataFrame:
+    """The grid with a column for each series of events (instrument, event, value): the last event's value on or before each calendar row.
 
-    An event without a value takes the value before it back; one on a day without trade counts on the next."""
-    rows = grid.select("instrument", "datetime", F.lit(1).alias("kind"), F.lit(None).cast("struct<value:double>").alias("v"))
-    told = events.select("instrument", F.col("event").alias("datetime"), F.lit(0).alias("kind"), F.struct(F.col("value").cast("double").alias("value")).alias("v"))
-    w = Window.partitionBy("instrument").orderBy("datetime", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = rows.unionByName(told).withColumn("v", F.last("v", ignorenulls=True).over(w))
-    return both.where("kind = 1").select("instrument", "datetime", E.finite(E.no_nan(F.col("v.value"))).alias("value"))
+    An event without a value takes the value before it back; one on a day without trade counts on the next. All series are
+    laid into the grid at once, so that it moves once however many they are."""
+    rest = [c for c in grid.columns if c not in ("instrument", "datetime")]
+    both = grid.select("instrument", "datetime", F.lit(1).alias("__kind"), F.struct(F.lit(True).alias("__there"), *rest).alias("__row"))
+    for name, events in series.items():
+        told = events.select("instrument", F.col("event").alias("datetime"), F.lit(0).alias("__kind"), F.struct(F.col("value").cast("double").alias("value")).alias(name))
+        both = both.unionByName(told, allowMissingColumns=True)
+    w = Window.partitionBy("instrument").orderBy("datetime", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.select("instrument", "datetime", "__kind", "__row", *(F.last(n, ignorenulls=True).over(w).alias(n) for n in series)).where("__kind = 1")
+    return both.select("instrument", "datetime", *(F.col(f"__row.`{c}`") for c in rest), *(E.finite(E.no_nan(F.col(n)["value"])).alias(n) for n in series))
 
 
 def projection(records: DataFrame, node: ast.Call) -> DataFrame:
@@ -118,9 +123,25 @@ def projection(records: DataFrame, node: ast.Call) -> DataFrame:
     return events.select("instrument", "event").join(at, ["instrument", "event"], "left")
 
 
-def project(records: DataFrame, grid: DataFrame, expressions: dict[str, str]) -> DataFrame:
-    """Expressions that hold P, PRef or bare $$ fields over a dense grid (instrument, datetime, pos, fields)."""
+class _Resolved(ast.NodeTransformer):
+    """Names of $$ fields as the registry has them."""
+
+    def __init__(self, names: Sequence[str]):
+        self.names = names
+
+    def visit_Call(self, node: ast.Call) -> ast.AST:
+        self.generic_visit(node)
+        if isinstance(node.func, ast.Name) and node.func.id == "pitfield":
+            node.args[0].value = resolve(self.names, node.args[0].value)
+        return node
+
+
+def project(records: DataFrame, grid: DataFrame, expressions: dict[str, str], names: Sequence[str] | None = None) -> DataFrame:
+    """Expressions that hold P, PRef or bare $$ fields over a dense grid (instrument, datetime, pos, fields).
+
+    names: those of the registry, by which the last part of a dotted name finds its field."""
     special: dict[str, str] = {}
+    series: dict[str, DataFrame] = {}
     for text in expressions.values():
         tree = E.parse(text)
         E.check_pit(tree)
@@ -128,9 +149,9 @@ def project(records: DataFrame, grid: DataFrame, expressions: dict[str, str]) ->
         for node in (n for n in E.calls(tree, "P", "PRef", "pitfield") if id(n) not in inside):
             if (key := ast.dump(node)) not in special:
                 special[key] = f"__s{len(special)}"
-                series = on_calendar(projection(records, node), grid).withColumnRenamed("value", special[key])
-                grid = grid.join(series, ["instrument", "datetime"], "left")
-    return E.evaluate(grid, expressions, special=special)
+                asked = node if names is None else _Resolved(names).visit(copy.deepcopy(node))
+                series[special[key]] = projection(records, asked)
+    return E.evaluate(on_calendar(series, grid) if series else grid, expressions, special=special)
 
 
 def register_fields(old: DataFrame | None, new: DataFrame, replace: bool = False) -> DataFrame:

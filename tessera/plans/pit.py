@@ -11,10 +11,10 @@ from tessera.plans.expressions import tidy
 from tessera.sources.driver import pit_records, read
 
 PIT = """WITH r AS (SELECT CAST(o_custkey AS VARCHAR) AS instrument, lower(o_orderstatus) AS field, CAST(o_orderdate AS DATE) AS ann_date,
-  year(o_orderdate - INTERVAL 3 MONTH) * 100 + quarter(o_orderdate - INTERVAL 3 MONTH) AS period, o_totalprice AS value, o_orderkey AS seq FROM orders WHERE o_custkey < 400),
+  year(o_orderdate - INTERVAL 3 MONTH) * 100 + quarter(o_orderdate - INTERVAL 3 MONTH) AS period, o_totalprice AS value, o_orderkey AS seq FROM orders),
 p AS (SELECT instrument, field, ann_date, period, arg_max(value, seq) AS value FROM r GROUP BY 1, 2, 3, 4),
 q AS (SELECT *, period // 100 * 4 + period % 100 - 1 AS ord FROM p),
-c AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS datetime FROM orders WHERE day(o_orderdate) IN (1, 15)),
+c AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS datetime FROM orders),
 g AS (SELECT instrument, datetime FROM (SELECT DISTINCT instrument FROM p) CROSS JOIN c)"""
 
 
@@ -55,12 +55,15 @@ def snapshot_periods(spark, sf_dir):
 
 
 def _last(field: str) -> str:
-    return f"h_{field} AS (SELECT g.instrument, g.datetime, max(q.ord) AS hi FROM g JOIN q ON q.instrument = g.instrument AND q.field = '{field}' AND q.ann_date <= g.datetime GROUP BY 1, 2)"
+    """Announcement dates of a field, with the greatest quarter seen so far."""
+    return f"""h_{field} AS (SELECT e.instrument, e.ann_date, max(q.ord) AS hi FROM (SELECT DISTINCT instrument, ann_date FROM q WHERE field = '{field}') e
+JOIN q ON q.instrument = e.instrument AND q.field = '{field}' AND q.ann_date <= e.ann_date GROUP BY 1, 2)"""
 
 
 def _slot(field: str, k: int) -> str:
-    return f"""(SELECT h.instrument, h.datetime, arg_max(q.value, q.ann_date) AS value FROM h_{field} h
-JOIN q ON q.instrument = h.instrument AND q.field = '{field}' AND q.ord = h.hi + ({k}) AND q.ann_date <= h.datetime GROUP BY 1, 2)"""
+    """At each announcement the value of the greatest quarter plus k, or null."""
+    return f"""(SELECT h.instrument, h.ann_date, arg_max(q.value, q.ann_date) AS value FROM h_{field} h
+LEFT JOIN q ON q.instrument = h.instrument AND q.field = '{field}' AND q.ord = h.hi + ({k}) AND q.ann_date <= h.ann_date GROUP BY 1, 2)"""
 
 
 def projection_query(name: str, text: str, ctes: str, joins: str, value: str) -> None:
@@ -69,14 +72,14 @@ def projection_query(name: str, text: str, ctes: str, joins: str, value: str) ->
         return tidy(P.project(pit_records(spark, sf_dir), grid(spark, sf_dir), {"value": text}))
 
 
-JOIN = "LEFT JOIN {0} {1} ON {1}.instrument = g.instrument AND {1}.datetime = g.datetime"
+JOIN = "ASOF LEFT JOIN {0} {1} ON {1}.instrument = g.instrument AND g.datetime >= {1}.ann_date"
 projection_query("pit_p_raw", "P($$f)", _last("f"), JOIN.format(_slot("f", 0), "x"), "x.value")
 projection_query("pit_bare_field", "$$f * 1", _last("f"), JOIN.format(_slot("f", 0), "x"), "x.value")
 projection_query("pit_pref", "PRef($$f, -1)", _last("f"), JOIN.format(_slot("f", -1), "x"), "x.value")
 projection_query("pit_daily_mix", "P($$o) / P($$f) + PRef($$f, 0)", f"{_last('f')}, {_last('o')}", JOIN.format(_slot("f", 0), "x") + " " + JOIN.format(_slot("o", 0), "y"), "y.value / x.value + x.value")
-AXIS = f"""{_last("f")}, v AS (SELECT h.instrument, h.datetime, q.ord, h.hi, arg_max(q.value, q.ann_date) AS value FROM h_f h
-JOIN q ON q.instrument = h.instrument AND q.field = 'f' AND q.ann_date <= h.datetime GROUP BY 1, 2, 3, 4),
-m AS (SELECT instrument, datetime, avg(value) FILTER (WHERE ord >= hi - 2) AS m0, avg(value) FILTER (WHERE ord BETWEEN hi - 3 AND hi - 1) AS m1, min(ord) AS lo, max(hi) AS hi FROM v GROUP BY 1, 2)"""
+AXIS = f"""{_last("f")}, v AS (SELECT h.instrument, h.ann_date, q.ord, h.hi, arg_max(q.value, q.ann_date) AS value FROM h_f h
+JOIN q ON q.instrument = h.instrument AND q.field = 'f' AND q.ann_date <= h.ann_date GROUP BY 1, 2, 3, 4),
+m AS (SELECT instrument, ann_date, avg(value) FILTER (WHERE ord >= hi - 2) AS m0, avg(value) FILTER (WHERE ord BETWEEN hi - 3 AND hi - 1) AS m1, min(ord) AS lo, max(hi) AS hi FROM v GROUP BY 1, 2)"""
 projection_query("pit_p_expr", "P(Mean($$f, 3))", AXIS, JOIN.format("m", "x"), "x.m0")
 projection_query("pit_pref_expr", "PRef(Mean($$f, 3), -1)", AXIS, JOIN.format("m", "x"), "CASE WHEN x.hi - 1 >= x.lo THEN x.m1 END")
 

@@ -75,3 +75,21 @@ def test_projections_on_every_date(spark, orders):
         got = {(r.instrument, r.datetime): r.value for r in catalog.queries()[n](spark, path).collect()}
         assert got.keys() == want[n].keys()
         assert all(got[k] == v if v is None or got[k] is None else abs(got[k] - v) < 1e-3 for k, v in want[n].items()), n
+
+
+def test_dotted_names_and_one_pass(spark, orders):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import pit as P
+    from tessera.plans.pit import grid
+    from tessera.sources.driver import pit_records
+
+    path, _ = orders
+    records, days = pit_records(spark, path), grid(spark, path)
+    asked = {"a": "P($$f)", "b": "PRef($$f, -1) + P($$o)"}
+    plain = P.project(records, days, asked)
+    dotted = P.project(records.withColumn("field", F.concat(F.lit("income."), "field")), days, asked, [f"income.{x}" for x in "fop"])
+    assert sorted(plain.collect(), key=str) == sorted(dotted.collect(), key=str)
+    assert plain._jdf.queryExecution().optimizedPlan().toString().count("Union") == 1
+    with pytest.raises(KeyError):
+        P.project(records, days, asked, ["income.f", "cash.f", "income.o"])
