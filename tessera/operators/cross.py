@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -226,11 +225,59 @@ def summary(daily: DataFrame) -> DataFrame:
     )
 
 
-def analyze(factors: DataFrame, names: Sequence[str], labels: DataFrame, horizons: Sequence[int], q: int = 5, lag: int = 1) -> dict[str, DataFrame]:
-    """The result tables: daily, quantile_returns, quantile_membership, turnover, autocorrelation, summary."""
-    rows, single = long_form(factors, names, labels, horizons), long_form(factors, names)
+def daily_table(rows: DataFrame, share: float = 0.2) -> DataFrame:
+    """coverage, information and long_short of each factor, horizon and date in one table: all ranks are windows over one
+    exchange by these keys, and one aggregation reads them."""
     keys = ["factor", "horizon", "datetime"]
-    daily = reduce(lambda a, b: a.join(b, keys), [coverage(rows), information(rows), long_short(rows).select(*keys, "universe_return", "long_short_return")])
+    w = Window.partitionBy(*keys)
+    pair, have = F.col("value").isNotNull() & F.col("label").isNotNull(), F.col("value").isNotNull()
+    d = rows.withColumn("__pair", pair).withColumn("__have", have)
+    # ranks among pairs, places among values, anchored pairs
+    d = d.withColumn("__rv", average_rank(F.col("value"), [*keys, "__pair"])).withColumn("__rl", average_rank(F.col("label"), [*keys, "__pair"]))
+    v = Window.partitionBy(*keys, "__have")
+    d = d.withColumn("__top", F.row_number().over(v.orderBy(F.desc("value"), "instrument"))).withColumn("__low", F.row_number().over(v.orderBy("value", "instrument")))
+    only = lambda c: F.when(F.col("__pair"), c)
+    d = d.withColumn("__k", F.floor(F.count("value").over(w) * share))
+    d = d.withColumn("__a", only(F.col("value") - F.min(only(F.col("value"))).over(w))).withColumn("__b", only(F.col("label") - F.min(only(F.col("label"))).over(w)))
+    d = d.withColumn("__rv", only(F.col("__rv"))).withColumn("__rl", only(F.col("__rl")))
+    n, pairs = F.count(F.lit(1)), F.count("__a")
+    picked = lambda c: F.avg(F.when(F.col("__have") & (F.col(c) <= F.col("__k")), F.col("label")))
+    moments = lambda x, y, s: [F.regr_sxy(y, x).alias(f"{s}xy"), F.regr_sxx(y, x).alias(f"{s}xx"), F.regr_syy(y, x).alias(f"{s}yy"), ((F.max(x) > F.min(x)) & (F.max(y) > F.min(y))).alias(f"{s}v")]
+    g = d.groupBy(*keys).agg(
+        n.alias("universe_count"), F.count("value").alias("factor_count"), pairs.alias("pair_count"), (F.count("value") / n).alias("coverage"), (pairs / n).alias("pair_coverage"),
+        *moments("__a", "__b", "i"), *moments("__rv", "__rl", "r"),
+        F.avg("label").alias("universe_return"), ((picked("__top") - picked("__low")) / 2).alias("long_short_return"),
+    )
+
+    def corr(s: str) -> Column:
+        r = F.try_divide(F.try_divide(F.col(f"{s}xy"), F.sqrt(F.nullif(F.col(f"{s}xx"), F.lit(0.0)))), F.sqrt(F.nullif(F.col(f"{s}yy"), F.lit(0.0))))
+        return F.when(F.col(f"{s}v"), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+
+    return g.select(*keys, "universe_count", "factor_count", "pair_count", "coverage", "pair_coverage", corr("i").alias("ic"), corr("r").alias("rank_ic"), "universe_return", "long_short_return")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """The same rows, computed once however often they are read: a checkpoint where spark.checkpoint.dir names a shared folder, else kept by Spark."""
+    spark = df.sparkSession
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        return df.persist()
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(named)
+    return df.checkpoint()
+
+
+def analyze(factors: DataFrame, names: Sequence[str], labels: DataFrame, horizons: Sequence[int], q: int = 5, lag: int = 1) -> dict[str, DataFrame]:
+    """The result tables: daily, quantile_returns, quantile_membership, turnover, autocorrelation, summary.
+
+    Factors and labels are computed once, and all tables read that."""
+    wide = factors.select("instrument", "datetime", *names).join(labels.select("instrument", "datetime", *(f"return_{h}" for h in horizons)), ["instrument", "datetime"], "left")
+    wide = staged(wide)
+    single = long_form(wide, names)
+    rows = wide.unpivot(["instrument", "datetime", *(f"return_{h}" for h in horizons)], list(names), "factor", "value")
+    pair = F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"return_{h}").alias("label")) for h in horizons))).alias("p")
+    rows = rows.select("factor", "datetime", "instrument", "value", pair).select("factor", "datetime", "instrument", "value", "p.*")
+    daily = daily_table(rows)
     member = quantiles(single, q)
     grouped = rows.join(member.select("factor", "datetime", "instrument", "quantile"), ["factor", "datetime", "instrument"])
     auto, turn = autocorrelation(single, lag), turnover(member, lag)

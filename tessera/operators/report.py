@@ -124,20 +124,76 @@ def _student_p(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return np.array([one(x, y) for x, y in zip(t, df)])
 
 
-def performance(daily: DataFrame, col: str, keys: Sequence[str], periods: float = 252.0) -> DataFrame:
-    """Mean, deviation, annualised figures, t statistic and its p-value, win rate and extremes of each series."""
-    mean, sd, n = F.avg(col), F.stddev_samp(col), F.count(col)
+#: The fourteen figures of a factor and horizon, in this order.
+PERFORMANCE = (
+    "factor_return", "sharpe", "annualized_return", "max_drawdown", "ic_mean", "rank_ic_mean", "ic_std", "ic_ir", "rank_ic_ir",
+    "ic_negative_rate", "ic_positive_rate", "ic_t_stat", "ic_p_value", "monotonicity",
+)
+#: An IC beyond this, up or down, counts in the rates.
+NOTABLE = 0.02
+YEAR = 252.0
+
+
+def risk(sampled: DataFrame, horizon: Column, keys: Sequence[str], col: str = "mean") -> DataFrame:
+    """Return, Sharpe ratio, annualised return and greatest drawdown of returns that don't overlap, in order of datetime.
+
+    Missing returns are left out, not filled; a series with a return below -1 has no figures, after one of -1 wealth stays zero."""
+    have = sampled.where(F.col(col).isNotNull() & (F.abs(col) < math.inf)).withColumn("__h", horizon)
+    w = Window.partitionBy(*keys).orderBy("datetime").rowsBetween(Window.unboundedPreceding, 0)
+    lost = F.min(col).over(w) <= -1
+    log = F.sum(F.when(F.col(col) > -1, F.log1p(F.when(F.col(col) > -1, F.col(col))))).over(w)
+    d = have.withColumn("__wealth", F.when(lost, F.lit(0.0)).otherwise(F.exp(log)))
+    d = d.withColumn("__down", 1 - F.col("__wealth") / F.greatest(F.max("__wealth").over(w), F.lit(1.0)))
+    n, year = F.count(F.lit(1)), F.lit(YEAR) / F.max("__h")
+    end = F.max_by("__wealth", "datetime")
+    sane = lambda c: F.when(F.min(col) >= -1, c)
+    return d.groupBy(*keys).agg(
+        sane(end - 1).alias("factor_return"), sane(F.try_divide(F.avg(col), F.nullif(F.stddev_samp(col), F.lit(0.0))) * F.sqrt(year)).alias("sharpe"),
+        sane(F.pow(end, year / n) - 1).alias("annualized_return"), sane(F.max("__down")).alias("max_drawdown"),
+    )
+
+
+def monotonicity(groups: DataFrame, keys: Sequence[str], value: str = "mean") -> DataFrame:
+    """Rank correlation of the groups' order (quantile) and their mean over dates; missing if fewer than two have one, or all are equal."""
+    means = groups.groupBy(*keys, "quantile").agg(F.avg(value).alias("__m")).where("__m is not null")
+    by = Window.partitionBy(*keys)
+    same = F.count(F.lit(1)).over(Window.partitionBy(*keys, "__m"))
+    ranked = means.withColumn("__r", F.rank().over(by.orderBy("__m")) + (same - 1) / F.lit(2.0)).withColumn("__q", F.row_number().over(by.orderBy("quantile")).cast("double"))
+    return ranked.groupBy(*keys).agg(F.when((F.count("__r") > 1) & (F.max("__r") > F.min("__r")), F.corr("__q", "__r")).alias("monotonicity"))
+
+
+def performance(daily: DataFrame, groups: DataFrame, keys: Sequence[str] = ("factor", "horizon"), pos: str = "pos") -> DataFrame:
+    """PERFORMANCE of each series. daily: ic and rank_ic of each date; groups: mean, quantile and pos of each date, of which the
+    greatest quantile's returns are taken on dates a multiple of the horizon after the first."""
+    keys = list(keys)
+
+    def moments(c: str) -> tuple[Column, Column, Column]:
+        x = F.when(F.abs(c) < math.inf, F.col(c))
+        return F.avg(x), F.stddev_samp(x), F.count(x)
+
+    (mean, sd, n), (rank_mean, rank_sd, _) = moments("ic"), moments("rank_ic")
+    ratio = F.try_divide(mean, F.nullif(sd, F.lit(0.0)))
+    beyond = lambda test: F.avg(F.when(F.abs("ic") < math.inf, test.cast("double")))
     g = daily.groupBy(*keys).agg(
-        n.alias("count"), mean.alias("mean"), sd.alias("std"), (mean * periods).alias("annualized_mean"), (sd * math.sqrt(periods)).alias("annualized_std"),
-        F.try_divide(mean * math.sqrt(periods), F.nullif(sd, F.lit(0.0))).alias("ratio"), F.try_divide(mean * F.sqrt(n.cast("double")), F.nullif(sd, F.lit(0.0))).alias("t_stat"),
-        F.avg((F.col(col) > 0).cast("double")).alias("win_rate"), F.max(col).alias("best"), F.min(col).alias("worst"),
+        mean.alias("ic_mean"), rank_mean.alias("rank_ic_mean"), sd.alias("ic_std"), ratio.alias("ic_ir"), F.try_divide(rank_mean, F.nullif(rank_sd, F.lit(0.0))).alias("rank_ic_ir"),
+        beyond(F.col("ic") < -NOTABLE).alias("ic_negative_rate"), beyond(F.col("ic") > NOTABLE).alias("ic_positive_rate"), (ratio * F.sqrt(n.cast("double"))).alias("ic_t_stat"), n.alias("__n"),
     )
 
     @F.pandas_udf("double")
     def p_value(t: pd.Series, df: pd.Series) -> pd.Series:
         return pd.Series(_student_p(t.fillna(np.nan).to_numpy(float), df.to_numpy(float)))
 
-    return g.withColumn("p_value", F.when(F.col("t_stat").isNotNull(), p_value("t_stat", (F.col("count") - 1).cast("double"))))
+    g = g.withColumn("ic_p_value", F.when(F.col("ic_t_stat").isNotNull(), p_value("ic_t_stat", (F.col("__n") - 1).cast("double"))))
+    first = Window.partitionBy(*keys)
+    top = groups.withColumn("__first", F.min(pos).over(first)).withColumn("__top", F.max("quantile").over(first))
+    top = top.where((F.col("quantile") == F.col("__top")) & ((F.col(pos) - F.col("__first")) % F.col("horizon") == 0))
+    out = g.join(risk(top, F.col("horizon"), keys), keys, "left").join(monotonicity(groups, keys), keys, "left")
+    return out.select(*keys, *PERFORMANCE)
+
+
+def net_groups(groups: DataFrame, scenario: str) -> DataFrame:
+    """Group returns (columns mean and label count kept) after the fees of a scenario: the mean of the transformed is the transformed mean."""
+    return groups.withColumn("mean", net_of_fee(F.col("mean"), *SCENARIOS[scenario]))
 
 
 def pending(daily: DataFrame, horizon: int, lag: int, size: int) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import cross as C
 from tessera.operators import report as R
 from tessera.plans.catalog import query
-from tessera.plans.cross import BASE, HORIZONS, KEYS, LEFT, NAMES, PAIRS, _corr, factors, labelled
+from tessera.plans.cross import BASE, HORIZONS, KEYS, LEFT, NAMES, PAIRS, Q, _corr, factors, labelled
 from tessera.plans.expressions import tidy
 
 IC = f"{BASE} {PAIRS}, x AS (SELECT {KEYS}, ic, CAST(row_number() OVER (PARTITION BY zk.factor, zk.horizon ORDER BY zk.datetime) AS BIGINT) AS pos FROM zk {LEFT.format('zi')})"
@@ -75,16 +75,45 @@ def risk_sampling(spark, sf_dir):
     return tidy(R.risk_sample(daily(spark, sf_dir).where("horizon = 3"), 3, FH).select(*FH, "datetime", "ic"))
 
 
-@query("performance_metrics", f"""{IC} SELECT factor, horizon, count(ic) AS "count", round(avg(ic), 4) AS mean, round(stddev_samp(ic), 4) AS std, round(avg(ic) * 252, 4) AS annualized_mean,
-round(stddev_samp(ic) * sqrt(252), 4) AS annualized_std, round(avg(ic) * sqrt(252) / stddev_samp(ic), 4) AS ratio, round(avg(ic) * sqrt(count(ic)) / stddev_samp(ic), 4) AS t_stat,
-round(avg(CAST(ic > 0 AS DOUBLE)), 4) AS win_rate, round(max(ic), 4) AS best, round(min(ic), 4) AS worst FROM x GROUP BY 1, 2""")
+def group_returns(spark, sf_dir):
+    """quantile, mean and pos of each factor, horizon and date."""
+    p, d = factors(spark, sf_dir)
+    tables = C.analyze(d, NAMES, C.forward_returns(p, HORIZONS), HORIZONS)
+    return tables["daily"], tables["quantile_returns"].join(F.broadcast(p.calendar), "datetime")
+
+
+GROUPS = f"""{Q}, gq AS (SELECT z.factor, z.horizon, z.datetime, cal.pos, quantile, avg(label) AS mean FROM z
+JOIN qm ON qm.factor = z.factor AND qm.instrument = z.instrument AND qm.datetime = z.datetime JOIN cal ON cal.datetime = z.datetime WHERE quantile IS NOT NULL GROUP BY 1, 2, 3, 4, 5),
+fp AS (SELECT factor, horizon, min(pos) AS first FROM gq GROUP BY 1, 2),
+tp AS (SELECT gq.*, row_number() OVER (PARTITION BY gq.factor, gq.horizon ORDER BY pos) AS i FROM gq JOIN fp ON fp.factor = gq.factor AND fp.horizon = gq.horizon
+  WHERE quantile = 5 AND (pos - first) % gq.horizon = 0 AND mean IS NOT NULL),
+tw AS (SELECT *, CASE WHEN min(mean) OVER o <= -1 THEN 0 ELSE exp(sum(ln(CASE WHEN mean > -1 THEN 1 + mean END)) OVER o) END AS w FROM tp WINDOW o AS (PARTITION BY factor, horizon ORDER BY i)),
+td AS (SELECT *, 1 - w / greatest(max(w) OVER (PARTITION BY factor, horizon ORDER BY i), 1) AS down FROM tw),
+rk AS (SELECT factor, horizon, CASE WHEN min(mean) >= -1 THEN arg_max(w, i) - 1 END AS factor_return, CASE WHEN min(mean) >= -1 THEN avg(mean) / nullif(stddev_samp(mean), 0) * sqrt(252.0 / horizon) END AS sharpe,
+  CASE WHEN min(mean) >= -1 THEN power(arg_max(w, i), 252.0 / horizon / count(*)) - 1 END AS annualized_return, CASE WHEN min(mean) >= -1 THEN max(down) END AS max_drawdown FROM td GROUP BY 1, 2),
+gm AS (SELECT factor, horizon, quantile, avg(mean) AS m FROM gq GROUP BY 1, 2, 3),
+gr AS (SELECT *, rank() OVER (PARTITION BY factor, horizon ORDER BY m) + (count(*) OVER (PARTITION BY factor, horizon, m) - 1) / 2.0 AS r,
+  row_number() OVER (PARTITION BY factor, horizon ORDER BY quantile) AS k FROM gm WHERE m IS NOT NULL),
+mo AS (SELECT factor, horizon, CASE WHEN count(*) > 1 AND max(r) > min(r) THEN corr(k, r) END AS monotonicity FROM gr GROUP BY 1, 2)"""
+
+
+@query("performance_metrics", f"""{BASE} {PAIRS} {GROUPS}, st AS (SELECT zk.factor, zk.horizon, avg(ic) AS ic_mean, avg(rank_ic) AS rank_ic_mean, stddev_samp(ic) AS ic_std, avg(ic) / stddev_samp(ic) AS ic_ir,
+avg(rank_ic) / stddev_samp(rank_ic) AS rank_ic_ir, avg(CAST(ic < -0.02 AS DOUBLE)) AS ic_negative_rate, avg(CAST(ic > 0.02 AS DOUBLE)) AS ic_positive_rate,
+avg(ic) / stddev_samp(ic) * sqrt(count(ic)) AS ic_t_stat FROM zk {LEFT.format('zi')} GROUP BY 1, 2)
+SELECT st.factor, st.horizon, round(ln(1 + factor_return), 4) AS factor_log_return, round(sharpe, 4) AS sharpe, round(ln(1 + annualized_return), 4) AS annualized_log_return, round(max_drawdown, 4) AS max_drawdown,
+round(ic_mean, 4) AS ic_mean, round(rank_ic_mean, 4) AS rank_ic_mean, round(ic_std, 4) AS ic_std, round(ic_ir, 4) AS ic_ir, round(rank_ic_ir, 4) AS rank_ic_ir, round(ic_negative_rate, 4) AS ic_negative_rate,
+round(ic_positive_rate, 4) AS ic_positive_rate, round(ic_t_stat, 4) AS ic_t_stat, round(monotonicity, 4) AS monotonicity
+FROM st LEFT JOIN rk ON rk.factor = st.factor AND rk.horizon = st.horizon LEFT JOIN mo ON mo.factor = st.factor AND mo.horizon = st.horizon""")
 def performance(spark, sf_dir):
-    return tidy(R.performance(daily(spark, sf_dir), "ic", FH).drop("p_value"))
+    """All figures but the p-value, which SQL cannot express; returns as their logarithms, as they are very great on these tables."""
+    d = R.performance(*group_returns(spark, sf_dir))
+    d = d.withColumn("factor_log_return", F.log1p("factor_return")).withColumn("annualized_log_return", F.log1p("annualized_return"))
+    return tidy(d.drop("ic_p_value", "factor_return", "annualized_return"))
 
 
 @query("performance_p_value")
 def p_value(spark, sf_dir):
-    return tidy(R.performance(daily(spark, sf_dir), "ic", FH).select(*FH, "t_stat", "p_value"))
+    return tidy(R.performance(*group_returns(spark, sf_dir)).select(*FH, "ic_t_stat", "ic_p_value"))
 
 
 @query("normal_points")
@@ -136,5 +165,8 @@ def report_payload(spark, sf_dir):
     """The report's JSON and its page, as one row."""
     p, d = factors(spark, sf_dir)
     tables = C.analyze(d, NAMES, C.forward_returns(p, HORIZONS), HORIZONS)
-    data = R.payload({"summary": tables["summary"].orderBy(*FH)}, {"factors": NAMES, "horizons": HORIZONS})
+    groups = tables["quantile_returns"].join(F.broadcast(p.calendar), "datetime").drop("pos_count")
+    means = lambda g: g.groupBy(*FH, "quantile").agg(F.avg("mean").alias("mean"), F.count("mean").alias("dates")).orderBy(*FH, "quantile")
+    nets = {f"quantiles_{k}": means(R.net_groups(groups, k)) for k in R.SCENARIOS}
+    data = R.payload({"summary": tables["summary"].orderBy(*FH), "performance": R.performance(tables["daily"], groups).orderBy(*FH), **nets}, {"factors": NAMES, "horizons": HORIZONS})
     return spark.createDataFrame([(data, len(R.html(data, "factors")))], "payload string, page_size int")
