@@ -134,6 +134,18 @@ def correlation(df: DataFrame, x: str, y: str, keys: Sequence[str], name: str) -
     return g.select(*keys, F.when(F.col("va") & F.col("vb"), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))).alias(name))
 
 
+def correlation_matrix(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """x, y, r for each ordered pair of columns, over rows that have both; missing if either is constant.
+
+    One pass of partial aggregates: a pair has as many rows as df, so nothing but sums moves."""
+    pair = F.explode(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(x).alias("u"), F.col(y).alias("v")) for x in names for y in names))).alias("p")
+    g = df.select(pair).select("p.*").where("u is not null and v is not null").groupBy("x", "y").agg(
+        F.regr_sxy("v", "u").alias("sxy"), F.regr_sxx("v", "u").alias("sxx"), F.regr_syy("v", "u").alias("syy"), ((F.max("u") > F.min("u")) & (F.max("v") > F.min("v"))).alias("varied")
+    )
+    r = F.try_divide(F.try_divide(F.col("sxy"), F.sqrt(F.nullif("sxx", F.lit(0.0)))), F.sqrt(F.nullif("syy", F.lit(0.0))))
+    return g.select("x", "y", F.when(F.col("varied"), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))).alias("r"))
+
+
 def information(rows: DataFrame, keys: Sequence[str] = ("factor", "horizon", "datetime")) -> DataFrame:
     """ic and rank_ic of each group, over rows that have value and label; groups without such a row stay, missing."""
     pairs = rows.where("value is not null and label is not null")

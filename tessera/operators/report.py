@@ -196,8 +196,8 @@ def net_groups(groups: DataFrame, scenario: str) -> DataFrame:
     return groups.withColumn("mean", net_of_fee(F.col("mean"), *SCENARIOS[scenario]))
 
 
-def pending(daily: DataFrame, horizon: int, lag: int, size: int) -> Column:
-    """Whether a date's labels can't be known yet: they end beyond the calendar and none is there."""
+def pending(horizon: Column, lag: int, size: Column) -> Column:
+    """Whether labels of a date (pos, label_count) can't be known yet: they end beyond a calendar of that size and none is there."""
     return (F.col("pos") + lag + horizon > size) & (F.col("label_count") == 0)
 
 

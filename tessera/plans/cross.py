@@ -182,10 +182,12 @@ def factor_summary(spark, sf_dir):
     return tidy(C.analyze(d, NAMES, C.forward_returns(p, HORIZONS), HORIZONS)["summary"])
 
 
-@query("factor_correlation", f"{BASE} SELECT round({_corr('alpha', 'size')}, 4) AS r FROM f WHERE alpha IS NOT NULL AND size IS NOT NULL")
+PAIR = "SELECT '{0}' AS x, '{1}' AS y, round({2}, 4) AS r FROM f WHERE {0} IS NOT NULL AND {1} IS NOT NULL"
+
+
+@query("factor_correlation", f"{BASE} " + " UNION ALL ".join(PAIR.format(x, y, _corr(x, y)) for x in NAMES for y in NAMES))
 def factor_correlation(spark, sf_dir):
-    d = factors(spark, sf_dir)[1].where("alpha is not null and size is not null").withColumn("all", F.lit(1))
-    return tidy(d.groupBy("all").agg(F.corr("alpha", "size").alias("r")).select("r"))
+    return tidy(C.correlation_matrix(factors(spark, sf_dir)[1], NAMES))
 
 
 @query("panel_contract", f"{BASE} SELECT instrument, datetime, round(alpha, 4) AS alpha FROM f")

@@ -108,9 +108,16 @@ def csv_table(spark, sf_dir):
     return read_table(spark, shared_dir(spark, "tessera-csv"), "nation", n_regionkey=2)
 
 
-@query("limits_by_daily_join", f"{GRID} SELECT instrument, datetime, round(close, 4) AS close, round(vwap, 4) AS vwap FROM g WHERE close IS NOT NULL")
-def daily_raw(spark, sf_dir):
-    return tidy(events_panel(spark, sf_dir).daily.select("instrument", "datetime", "close", "vwap"))
+@query("limits_by_daily_join", f"""{GRID} SELECT instrument, datetime, round(close, 4) AS close, round(amount * 10 / volume, 4) AS vwap,
+CASE WHEN CAST(instrument AS BIGINT) % 5 <> 0 THEN round(high, 4) END AS up_limit, CASE WHEN CAST(instrument AS BIGINT) % 5 <> 0 THEN round(low, 4) END AS down_limit FROM g WHERE close IS NOT NULL""")
+def limits_by_daily(spark, sf_dir):
+    """Bars with their limits, which some instruments lack."""
+    from tessera.sources import etl
+
+    d, keys = events_panel(spark, sf_dir).daily, ["instrument", "datetime"]
+    limits = etl.validate_limits(d.where("cast(instrument as bigint) % 5 <> 0").select(*keys, F.col("high").alias("up_limit"), F.col("low").alias("down_limit")))
+    out = etl.merge_daily(d.select(*keys, "close", "volume", "amount"), d.select(*keys, "factor"), d.select(*keys, F.col("open").alias("cap")), limits)
+    return tidy(out.select(*keys, "close", "vwap", "up_limit", "down_limit"))
 
 
 def filter_query(name: str, make, where: str, adjust: str = "none") -> None:

@@ -157,7 +157,7 @@ def pending_labels(spark, sf_dir):
     d = labelled(spark, sf_dir).groupBy("horizon", "datetime").agg(F.count("label").alias("label_count")).join(F.broadcast(p.calendar), "datetime")
     size = p.calendar.agg(F.max("pos").alias("size"))
     d = d.crossJoin(F.broadcast(size))
-    return d.select("horizon", "datetime", ((F.col("pos") + 1 + F.col("horizon") > F.col("size")) & (F.col("label_count") == 0)).alias("pending"))
+    return d.select("horizon", "datetime", R.pending(F.col("horizon"), 1, F.col("size")).alias("pending"))
 
 
 @query("report_payload")
