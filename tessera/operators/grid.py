@@ -14,6 +14,8 @@ from tessera.functions import expression as E
 
 #: Fields that adjustment multiplies.
 PRICES = ("open", "high", "low", "close", "vwap", "pre_close", "up_limit", "down_limit")
+#: Fields made of intervals and listing dates where daily has none of that name.
+VIRTUAL = ("is_st", "list_days")
 Day = date | str | None
 
 
@@ -69,11 +71,18 @@ class Panel:
             cal = cal.where(F.col("pos") <= hi)
         adjusted = self.adjust != "none" and any(n in PRICES for n in names)
         read = list(dict.fromkeys([*(n for n in names if n in self.daily.columns), *(["factor"] if adjusted else [])]))
-        missing = [n for n in names if n not in self.daily.columns]
+        virtual = [n for n in VIRTUAL if n in names and n not in self.daily.columns]
+        missing = [n for n in names if n not in self.daily.columns and n not in virtual]
         if missing:
             raise KeyError(f"no such field: {missing[0]}")
         grid = self.instruments.crossJoin(F.broadcast(cal))
         out = grid.join(self.daily.select("instrument", "datetime", *(E.no_nan(F.col(n).cast("double")).alias(n) for n in read)), ["instrument", "datetime"], "left")
+        if "is_st" in virtual:
+            inside = members(self.intervals.where("market = 'st'"), cal).select("instrument", "datetime", F.lit(1.0).alias("is_st"))
+            out = out.join(inside, ["instrument", "datetime"], "left").fillna(0.0, ["is_st"])
+        if "list_days" in virtual:
+            listed = self.basic.select("instrument", F.col("list_date").alias("__listed"))
+            out = out.join(listed, "instrument", "left").withColumn("list_days", age("__listed")).drop("__listed")
         return adjust_prices(out, self.adjust, [n for n in names if n in PRICES], self.anchors() if self.adjust == "qfq" and adjusted else None)
 
     def anchors(self) -> DataFrame:
@@ -182,5 +191,9 @@ def is_st(panel: Panel, market: str = "st") -> DataFrame:
 def list_days(panel: Panel) -> DataFrame:
     """The dense grid with list_days, calendar days since listing; an instrument without a listing date raises."""
     grid = panel.instruments.join(panel.basic.select("instrument", "list_date"), "instrument", "left")
-    age = F.datediff("datetime", F.coalesce("list_date", F.raise_error(F.concat(F.lit("no list_date: "), "instrument")).cast("date")))
-    return grid.crossJoin(F.broadcast(panel.calendar)).select("instrument", "datetime", age.cast("double").alias("list_days"))
+    return grid.crossJoin(F.broadcast(panel.calendar)).select("instrument", "datetime", age("list_date").alias("list_days"))
+
+
+def age(listed: str) -> Column:
+    """Calendar days since listing; a row without that date raises when read."""
+    return F.datediff("datetime", F.coalesce(listed, F.raise_error(F.concat(F.lit("no list_date: "), "instrument")).cast("date"))).cast("double")

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.grid import normal_code
+
 _SAFE = re.compile(r"[A-Za-z0-9_.-]+")
 
 
@@ -46,12 +48,16 @@ def read_calendar(spark: SparkSession, path: str) -> DataFrame:
     return d
 
 
-def read_intervals(spark: SparkSession, path: str, market: str) -> DataFrame:
-    """market, instrument, start, end of lines 'code start end'; an inverted or incomplete one raises when read."""
+def read_intervals(spark: SparkSession, path: str, market: str | None = None) -> DataFrame:
+    """market, instrument, start, end of lines 'code start end'; an inverted or incomplete one raises when read.
+
+    Without a market, each file's name is its market."""
     part = F.split(F.trim("value"), r"\s+")
-    d = spark.read.text(path).where("trim(value) <> ''").select(F.upper(part[0]).alias("instrument"), F.try_element_at(part, F.lit(2)).cast("date").alias("start"), F.try_element_at(part, F.lit(3)).cast("date").alias("end"))
+    named = F.lit(market) if market is not None else F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "")
+    d = spark.read.text(path, pathGlobFilter=None if market is not None else "*.txt").where("trim(value) <> ''")
+    d = d.select(named.alias("market"), normal_code(part[0]).alias("instrument"), F.try_element_at(part, F.lit(2)).cast("date").alias("start"), F.try_element_at(part, F.lit(3)).cast("date").alias("end"))
     good = F.col("start").isNotNull() & F.col("end").isNotNull() & (F.col("start") <= F.col("end"))
-    return d.select(F.lit(market).alias("market"), "instrument", F.when(good, F.col("start")).otherwise(F.raise_error(F.concat(F.lit("not an interval: "), "instrument")).cast("date")).alias("start"), "end")
+    return d.select("market", "instrument", F.when(good, F.col("start")).otherwise(F.raise_error(F.concat(F.lit("not an interval: "), "instrument")).cast("date")).alias("start"), "end")
 
 
 def write_bin(daily: DataFrame, calendar: DataFrame, root: str, field: str) -> None:
@@ -76,8 +82,8 @@ def write_bin(daily: DataFrame, calendar: DataFrame, root: str, field: str) -> N
     rows.groupBy("instrument").applyInPandas(put, "n long").agg(F.sum("n")).collect()
 
 
-def read_bin(spark: SparkSession, calendar: DataFrame, root: str, field: str) -> DataFrame:
-    """instrument, datetime and the field of binary daily files, read by Spark's own file reader.
+def read_bins(spark: SparkSession, calendar: DataFrame, root: str, fields: Sequence[str]) -> DataFrame:
+    """instrument, datetime and the fields of binary daily files, read by Spark's own file reader in one pass.
 
     A file of another size, or one that leaves the calendar, raises."""
     n = calendar.count()
@@ -85,11 +91,19 @@ def read_bin(spark: SparkSession, calendar: DataFrame, root: str, field: str) ->
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for path, content in zip(f["path"], f["content"]):
-                v = np.frombuffer(content, "<f4")
-                if len(content) % 4 or len(v) < 1 or v[0] < 0 or v[0] != int(v[0]) or v[0] + len(v) - 1 > n:
+                v = np.frombuffer(content, "<f4") if len(content) % 4 == 0 else np.zeros(0, "<f4")
+                if len(v) < 1 or not v[0] >= 0 or v[0] != int(v[0]) or v[0] + len(v) - 1 > n:
                     raise ValueError(f"not a daily column: {path}")
-                yield pd.DataFrame({"instrument": path.split("/")[-2].upper(), "pos": v[0] + 1 + np.arange(len(v) - 1, dtype=float), field: v[1:].astype(float)})
+                code, name = path.split("/")[-2:]
+                yield pd.DataFrame({"instrument": code.upper(), "field": name.removesuffix(".day.bin"), "pos": v[0] + 1 + np.arange(len(v) - 1, dtype=float), "value": v[1:].astype(float)})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"{field}.day.bin").option("recursiveFileLookup", True).load(root).select("path", "content")
-    d = files.mapInPandas(decode, f"instrument string, pos double, {field} double")
-    return d.join(F.broadcast(calendar), "pos").select("instrument", "datetime", F.when(~F.isnan(field), F.col(field)).alias(field))
+    glob = "{" + ",".join(safe_path(f) for f in fields) + "}.day.bin"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(root).select("path", "content")
+    d = files.mapInPandas(decode, "instrument string, field string, pos double, value double")
+    value = F.when(~F.isnan("value"), F.col("value"))
+    d = d.groupBy("instrument", "pos").agg(*(F.max(F.when(F.col("field") == f, value)).alias(f) for f in fields))
+    return d.join(F.broadcast(calendar), "pos").select("instrument", "datetime", *fields)
+
+
+def read_bin(spark: SparkSession, calendar: DataFrame, root: str, field: str) -> DataFrame:
+    return read_bins(spark, calendar, root, [field])
