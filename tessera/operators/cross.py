@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.expression import finite, no_nan
-from tessera.operators.grid import Panel
+from tessera.operators.grid import Day, Panel
 
 
 def _day():
@@ -86,6 +86,26 @@ def neutralize(df: DataFrame, factors: Sequence[str], cap: str = "cap", industry
     return out
 
 
+def with_industry(df: DataFrame, spans: DataFrame, calendar: DataFrame, name: str = "industry") -> DataFrame:
+    """df with the industry of each row's day, missing outside of all intervals (instrument, that name, start, end).
+
+    Without any interval it raises at once; a row with two industries raises when read."""
+    if spans.isEmpty():
+        raise ValueError("no industry has an interval")
+    on = (F.col("datetime") >= F.col("start")) & (F.col("datetime") <= F.col("end"))
+    days = spans.join(F.broadcast(calendar.select("datetime")), on)
+    one = days.groupBy("instrument", "datetime").agg(F.min(name).alias("__lo"), F.max(name).alias("__hi"))
+    d = df.drop(name).join(one, ["instrument", "datetime"], "left")
+    clash = F.raise_error(F.concat_ws(" ", F.lit("two industries of"), "instrument", F.col("datetime").cast("string"))).cast("string")
+    return d.withColumn(name, F.when(F.col("__lo") != F.col("__hi"), clash).otherwise(F.col("__lo"))).drop("__lo", "__hi")
+
+
+def aligned(pred: DataFrame, label: DataFrame) -> DataFrame:
+    """instrument, datetime, pred and label of the days that either side has; values that aren't finite are missing."""
+    side = lambda d, c: d.select("instrument", "datetime", finite(F.col(c)).alias(c))
+    return side(pred, "pred").join(side(label, "label"), ["instrument", "datetime"], "full")
+
+
 def preprocess(df: DataFrame, factors: Sequence[str], method: str | None = "std", neutral: bool = True, standard: bool = True) -> DataFrame:
     if method:
         df = winsorize(df, factors, method)
@@ -303,3 +323,11 @@ def save(tables: dict[str, DataFrame], root: str) -> None:
         d.write.mode("overwrite").option("header", True).csv(f"{root}/{name}")
 
 
+def factor_analysis(panel: Panel, expressions: Mapping[str, str], universe: DataFrame | None = None, start: Day = None, end: Day = None, horizons: Sequence[int] = (1, 5, 20), q: int = 5, lag: int = 1, price: str = "close", entry_lag: int = 1, prepare: Callable[[DataFrame, list[str]], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """From expressions to the result tables: values on the universe's days, prepared if asked, against forward returns
+    of the whole panel. prepare: of values and factor names, as preprocess is."""
+    names = list(expressions)
+    values = validate_panel(panel.features(expressions, universe, start, end, causal=True))
+    if prepare is not None:
+        values = prepare(values, names)
+    return analyze(values, names, forward_returns(panel, horizons, price, entry_lag), horizons, q, lag)

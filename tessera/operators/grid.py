@@ -172,7 +172,10 @@ def causal_qfq(panel: Panel, expressions: Mapping[str, str], start: Day = None,
     base = base.withColumn("turn", F.when(F.col("anchor").eqNullSafe(F.lag("anchor").over(w)), 0).otherwise(1))
     base = base.withColumn("segment", F.sum("turn").over(w))
     runs = base.groupBy("instrument", "segment").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.first("anchor").alias("run_anchor"))
-    many = base.drop("anchor", "turn", "segment").join(runs, "instrument").where("pos <= hi")
+    back = max(E.reach(E.parse(v))[0] for v in expressions.values())
+    # of the history before a run only what the expressions reach is repeated
+    many = base.drop("anchor", "turn", "segment").join(runs, "instrument").where(F.col("pos") <= F.col("hi"))
+    many = many if back == E.INF else many.where(F.col("pos") >= F.col("lo") - back)
     scale = F.try_divide(F.when(valid_factor("factor"), F.col("factor")), F.col("run_anchor"))
     for p in (n for n in names if n in PRICES):
         many = many.withColumn(p, F.col(p) * scale)

@@ -193,3 +193,19 @@ def factor_correlation(spark, sf_dir):
 @query("panel_contract", f"{BASE} SELECT instrument, datetime, round(alpha, 4) AS alpha FROM f")
 def panel_contract(spark, sf_dir):
     return tidy(C.validate_panel(factors(spark, sf_dir)[1].select("instrument", "datetime", "alpha")))
+
+
+@query("industry_of_day", f"""{BASE}, s AS (SELECT instrument, min(datetime) AS a, max(datetime) AS b FROM d GROUP BY 1)
+SELECT f.instrument, f.datetime, CASE WHEN f.datetime BETWEEN a AND b THEN industry END AS industry FROM f LEFT JOIN s USING (instrument)""")
+def industry_of_day(spark, sf_dir):
+    p = events_panel(spark, sf_dir)
+    spans = p.intervals.where("market like 'industry/%'").select("instrument", F.substring("market", 10, 99).alias("industry"), "start", "end")
+    return C.with_industry(p.dense("close").select("instrument", "datetime"), spans, p.calendar)
+
+
+@query("pred_label_outer", f"""{BASE}, p AS (SELECT instrument, datetime, alpha FROM f WHERE alpha > 0), l AS (SELECT instrument, datetime, return_1 FROM y WHERE return_1 IS NOT NULL)
+SELECT instrument, datetime, round(alpha, 4) AS pred, round(return_1, 4) AS label FROM p FULL JOIN l USING (instrument, datetime)""")
+def pred_label_outer(spark, sf_dir):
+    p, d = factors(spark, sf_dir)
+    label = C.forward_returns(p, [1]).where("return_1 is not null").withColumnRenamed("return_1", "label")
+    return tidy(C.aligned(d.where("alpha > 0").withColumnRenamed("alpha", "pred"), label))

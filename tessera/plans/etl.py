@@ -116,3 +116,17 @@ def revision_merge(spark, sf_dir):
 def listing_snapshot(spark, sf_dir):
     c = read(spark, sf_dir, "customer").select(F.concat(F.lpad(F.col("c_custkey").cast("string"), 6, "0"), F.lit(".SH")).alias("ts_code"), F.when(F.col("c_custkey") % 3 == 0, "2020-01-31").when(F.col("c_custkey") % 3 == 1, "20200131").otherwise("20200131.0").alias("list_date"), F.when(F.col("c_custkey") % 2 == 0, "20230506").alias("delist_date"))
     return E.listing_snapshot(c, c, c.withColumn("ts_code", F.lit("bad")))
+
+
+@query("industry_intervals", f"""{GRID}, s AS (SELECT instrument, min(datetime) AS a, max(datetime) AS b FROM d GROUP BY 1),
+r AS (SELECT instrument, c_mktsegment AS industry, greatest(a, DATE '2024-01-05') AS a, CASE WHEN CAST(instrument AS BIGINT) % 7 = 0 THEN b ELSE (SELECT max(datetime) FROM cal) END AS b
+  FROM s JOIN customer ON CAST(c_custkey AS VARCHAR) = instrument)
+SELECT industry, instrument, min(datetime) AS "start", max(datetime) AS "end" FROM r JOIN cal ON datetime BETWEEN a AND b GROUP BY 1, 2""")
+def industry_intervals(spark, sf_dir):
+    """Two rows of a segment that follow one another become one interval."""
+    p = events_panel(spark, sf_dir)
+    segment = p.intervals.where("market like 'industry/%'").select("instrument", F.substring("market", 10, 99).alias("industry"))
+    cut = F.lit("2024-01-10").cast("date")
+    early = segment.select("*", F.lit("2024-01-05").cast("date").alias("in_date"), cut.alias("out_date"))
+    late = segment.select("*", F.date_add(cut, 1).alias("in_date"), F.lit(None).cast("date").alias("out_date"))
+    return E.industry_intervals(early.unionByName(late), p.basic, p.calendar)

@@ -107,3 +107,10 @@ def parameter_sweep(spark, sf_dir):
     """Three configurations side by side: the risk of each."""
     plans = {f"{k}-{n}": P.Dropout(k, n) for k, n in ((20, 2), (50, 5), (100, 10))}
     return tidy(P.risk_analysis(P.report(dropout(spark, sf_dir, plans)), ["run"]))
+
+
+@query("signal_scores", f"""{SCORES}, m AS (SELECT instrument, min(datetime) AS a, max(datetime) AS b FROM d GROUP BY 1)
+SELECT s.instrument, s.datetime, CASE WHEN s.datetime BETWEEN a AND b THEN round(score, 4) END AS score FROM s JOIN m ON m.instrument = s.instrument""")
+def signal_scores(spark, sf_dir):
+    p = events_panel(spark, sf_dir)
+    return tidy(P.signal_scores(scores(spark, sf_dir), p.universe("all"), p.calendar))

@@ -151,3 +151,6 @@ def filter_pipe(spark, sf_dir):
     return L.pipe(p, p.universe("all"), [{"filter_type": "STFilter"}, {"class": "NameDFilter", "kwargs": {"pattern": "1"}}]).select("instrument", "datetime")
 
 
+@query("virtual_in_expression", f"{GRID}, {SEEN} SELECT g.instrument, g.datetime, round(close * (1 - coalesce(error, 0)) + date_diff('day', a, g.datetime), 4) AS value FROM g JOIN s ON s.instrument = g.instrument")
+def virtual_in_expression(spark, sf_dir):
+    return tidy(events_panel(spark, sf_dir).features({"value": "$close * (1 - $is_st) + $list_days"}))

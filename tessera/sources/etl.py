@@ -68,11 +68,39 @@ def coalesce_intervals(spans: DataFrame, calendar: DataFrame, keys: Sequence[str
 
 
 def overlaps(spans: DataFrame, group: str = "industry") -> DataFrame:
-    """Intervals that begin inside an earlier one of the same instrument but another group."""
-    w = Window.partitionBy("instrument").orderBy("start", "end", group).rowsBetween(Window.unboundedPreceding, -1)
-    d = spans.withColumn("__far", F.max(F.struct("end", F.col(group).alias("g"))).over(w))
-    other = F.exists(F.collect_list(F.struct("end", F.col(group).alias("g"))).over(w), lambda x: (x["end"] >= F.col("start")) & (x["g"] != F.col(group)))
-    return d.withColumn("__o", F.when(F.col("__far.end") >= F.col("start"), other).otherwise(F.lit(False))).where("__o").drop("__far", "__o")
+    """Intervals that begin inside an earlier one of the same instrument but another group.
+
+    Running maxima only: the furthest end so far with its group, and the furthest end of all other groups. The latter is
+    the greatest of the ends that another group's stood above, and of those that led before the leading group changed."""
+    order = Window.partitionBy("instrument").orderBy("start", "end", group)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    own = F.struct(F.col("end"), F.col(group).alias("g"))
+    d = spans.withColumn("__was", F.max(own).over(before))
+    d = d.withColumn("__top", F.greatest("__was", own))
+    lost = F.when(F.col("__top.g") != F.col(group), F.col("end")).when(F.col("__was.g") != F.col("__top.g"), F.col("__was.end"))
+    d = d.withColumn("__next", F.max(lost).over(before))
+    other = F.when(F.col("__was.g") != F.col(group), F.col("__was.end")).otherwise(F.col("__next"))
+    return d.where(other >= F.col("start")).drop("__was", "__top", "__next")
+
+
+def industry_intervals(raw: DataFrame, basic: DataFrame, calendar: DataFrame) -> DataFrame:
+    """industry, instrument, start and end of classification rows: instrument, industry, in_date and out_date (both ends
+    belong to it; without an out_date it stays open).
+
+    Cut to the calendar and to the instrument's listing, instruments that basic lacks go; runs of one industry that
+    follow one another are joined. Two industries of an instrument on a trading day raise when read."""
+    first, last = calendar.agg(F.min("datetime"), F.max("datetime")).head()
+    if first is None:
+        raise ValueError("the calendar is empty")
+    listed = listing_intervals(basic, first, last).select("instrument", F.col("start").alias("__a"), F.col("end").alias("__b"))
+    d = raw.join(listed, "instrument")
+    d = d.select("industry", "instrument", F.greatest("in_date", "__a").alias("start"), F.least(F.coalesce("out_date", F.col("__b")), F.col("__b")).alias("end")).where("start <= end")
+    # only trading days count, so that one that ends on a Saturday and one that begins on it do not meet
+    runs = coalesce_intervals(d, calendar, ("industry", "instrument"))
+    twice = overlaps(runs).select("instrument", "start", "end", "industry", F.lit(True).alias("__twice")).distinct()
+    out = runs.join(twice, ["instrument", "start", "end", "industry"], "left")
+    bad = fail("two industries at once:", "instrument").cast("string")
+    return out.select(F.when(F.col("__twice"), bad).otherwise(F.col("industry")).alias("industry"), "instrument", "start", "end")
 
 
 def listing_intervals(basic: DataFrame, first, last) -> DataFrame:
