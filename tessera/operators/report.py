@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.cross import information
+
 #: Fee scenarios, trading cost a side and sell tax.
 SCENARIOS = {"none": (0.0, 0.0), "standard": (0.0003, 0.001)}
 
@@ -196,6 +198,20 @@ def net_groups(groups: DataFrame, scenario: str) -> DataFrame:
     return groups.withColumn("mean", net_of_fee(F.col("mean"), *SCENARIOS[scenario]))
 
 
+def sectors(rows: DataFrame, members: DataFrame, keys: Sequence[str] = ("factor", "horizon")) -> dict[str, DataFrame]:
+    """sector_ic: means over the dates of IC and rank IC inside each industry; sector_quantiles: label's mean and count
+    by industry and quantile, the quantiles being those of the whole market.
+
+    rows: factor, horizon, datetime, instrument, value, label, industry; rows without an industry go. members: factor, datetime, instrument, quantile."""
+    have = rows.where("industry is not null")
+    daily = information(have, (*keys, "industry", "datetime"))
+    of = have.join(members.where("quantile is not null").select("factor", "datetime", "instrument", "quantile"), ["factor", "datetime", "instrument"])
+    return {
+        "sector_ic": daily.groupBy(*keys, "industry").agg(F.avg("ic").alias("ic"), F.avg("rank_ic").alias("rank_ic"), F.count("ic").alias("dates")),
+        "sector_quantiles": of.groupBy(*keys, "industry", "quantile").agg(F.count("label").alias("n"), F.avg("label").alias("mean")),
+    }
+
+
 def pending(horizon: Column, lag: int, size: Column) -> Column:
     """Whether labels of a date (pos, label_count) can't be known yet: they end beyond a calendar of that size and none is there."""
     return (F.col("pos") + lag + horizon > size) & (F.col("label_count") == 0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import cross as C
 from tessera.operators import report as R
 from tessera.plans.catalog import query
-from tessera.plans.cross import BASE, HORIZONS, KEYS, LEFT, NAMES, PAIRS, Q, _corr, factors, labelled
+from tessera.plans.cross import BASE, HORIZONS, KEYS, LEFT, NAMES, PAIRS, Q, _corr, factors, labelled, single
 from tessera.plans.expressions import tidy
 
 IC = f"{BASE} {PAIRS}, x AS (SELECT {KEYS}, ic, CAST(row_number() OVER (PARTITION BY zk.factor, zk.horizon ORDER BY zk.datetime) AS BIGINT) AS pos FROM zk {LEFT.format('zi')})"
@@ -127,6 +127,10 @@ def with_sector(spark, sf_dir):
     return rows.join(d.select("instrument", "datetime", "industry"), ["instrument", "datetime"]).where("industry is not null")
 
 
+def by_sector(spark, sf_dir):
+    return R.sectors(with_sector(spark, sf_dir), C.quantiles(single(spark, sf_dir)))
+
+
 SECTOR = f"{BASE}, zs AS (SELECT z.*, industry FROM z JOIN f ON f.instrument = z.instrument AND f.datetime = z.datetime WHERE industry IS NOT NULL)"
 
 
@@ -134,8 +138,16 @@ SECTOR = f"{BASE}, zs AS (SELECT z.*, industry FROM z JOIN f ON f.instrument = z
 k AS (SELECT DISTINCT factor, horizon, industry, datetime FROM zs) SELECT k.factor, k.horizon, k.industry, round(avg(ic), 4) AS ic
 FROM k LEFT JOIN p ON p.factor = k.factor AND p.horizon = k.horizon AND p.industry = k.industry AND p.datetime = k.datetime GROUP BY 1, 2, 3""")
 def sector_ic(spark, sf_dir):
-    d = C.information(with_sector(spark, sf_dir), ("factor", "horizon", "industry", "datetime"))
-    return tidy(d.groupBy("factor", "horizon", "industry").agg(F.avg("ic").alias("ic")))
+    return tidy(by_sector(spark, sf_dir)["sector_ic"].drop("rank_ic", "dates"))
+
+
+@query("sector_rank_ic", f"""{SECTOR}, r AS (SELECT *, rank() OVER (PARTITION BY factor, horizon, industry, datetime ORDER BY value) + (count(*) OVER (PARTITION BY factor, horizon, industry, datetime, value) - 1) / 2.0 AS rv,
+  rank() OVER (PARTITION BY factor, horizon, industry, datetime ORDER BY label) + (count(*) OVER (PARTITION BY factor, horizon, industry, datetime, label) - 1) / 2.0 AS rl FROM zs WHERE value IS NOT NULL AND label IS NOT NULL),
+p AS (SELECT factor, horizon, industry, datetime, {_corr("rv", "rl")} AS rank_ic FROM r GROUP BY 1, 2, 3, 4),
+k AS (SELECT DISTINCT factor, horizon, industry, datetime FROM zs) SELECT k.factor, k.horizon, k.industry, round(avg(rank_ic), 4) AS rank_ic
+FROM k LEFT JOIN p ON p.factor = k.factor AND p.horizon = k.horizon AND p.industry = k.industry AND p.datetime = k.datetime GROUP BY 1, 2, 3""")
+def sector_rank_ic(spark, sf_dir):
+    return tidy(by_sector(spark, sf_dir)["sector_ic"].drop("ic", "dates"))
 
 
 @query("sector_quantiles", f"""{SECTOR}, qd AS (SELECT factor, datetime, count(DISTINCT value) AS nd, count(value) AS n FROM v GROUP BY 1, 2),
@@ -143,11 +155,7 @@ qr AS (SELECT v.*, rank() OVER (PARTITION BY factor, datetime ORDER BY value) +
 qm AS (SELECT qr.factor, instrument, qr.datetime, CAST(floor((r - 1) * 5 / n) AS INTEGER) + 1 AS quantile FROM qr JOIN qd ON qd.factor = qr.factor AND qd.datetime = qr.datetime WHERE nd >= 5)
 SELECT zs.factor, zs.horizon, industry, quantile, count(label) AS n, round(avg(label), 4) AS mean FROM zs JOIN qm ON qm.factor = zs.factor AND qm.instrument = zs.instrument AND qm.datetime = zs.datetime GROUP BY 1, 2, 3, 4""")
 def sector_quantiles(spark, sf_dir):
-    """Groups are those of the whole market."""
-    rows = with_sector(spark, sf_dir)
-    member = C.quantiles(C.long_form(factors(spark, sf_dir)[1], NAMES)).where("quantile is not null").select("factor", "datetime", "instrument", "quantile")
-    d = rows.join(member, ["factor", "datetime", "instrument"])
-    return tidy(d.groupBy("factor", "horizon", "industry", "quantile").agg(F.count("label").alias("n"), F.avg("label").alias("mean")))
+    return tidy(by_sector(spark, sf_dir)["sector_quantiles"])
 
 
 @query("pending_labels", f"""{BASE}, l AS (SELECT horizon, datetime, count(label) AS n FROM z GROUP BY 1, 2)
@@ -168,5 +176,7 @@ def report_payload(spark, sf_dir):
     groups = tables["quantile_returns"].join(F.broadcast(p.calendar), "datetime").drop("pos_count")
     means = lambda g: g.groupBy(*FH, "quantile").agg(F.avg("mean").alias("mean"), F.count("mean").alias("dates")).orderBy(*FH, "quantile")
     nets = {f"quantiles_{k}": means(R.net_groups(groups, k)) for k in R.SCENARIOS}
-    data = R.payload({"summary": tables["summary"].orderBy(*FH), "performance": R.performance(tables["daily"], groups).orderBy(*FH), **nets}, {"factors": NAMES, "horizons": HORIZONS})
+    rows = C.long_form(d, NAMES, C.forward_returns(p, HORIZONS), HORIZONS).join(d.select("instrument", "datetime", "industry"), ["instrument", "datetime"])
+    sector = {k: t.orderBy(*t.columns[:4]) for k, t in R.sectors(rows, tables["quantile_membership"]).items()}
+    data = R.payload({"summary": tables["summary"].orderBy(*FH), "performance": R.performance(tables["daily"], groups).orderBy(*FH), **nets, **sector}, {"factors": NAMES, "horizons": HORIZONS})
     return spark.createDataFrame([(data, len(R.html(data, "factors")))], "payload string, page_size int")

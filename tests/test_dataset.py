@@ -93,3 +93,34 @@ def test_folder_names():
     assert got["alpha"] == "alpha" and len(got) == 6
     assert len({v.lower() for v in got.values()}) == 6
     assert not any(c in v for v in got.values() for c in '<>:"/\\|?*')
+
+
+def test_raw_tables(spark, tmp_path):
+    from tessera.sources.raw import RawTables, Rule
+
+    def put(name, text):
+        f = tmp_path / name
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text(text)
+
+    put("daily/20240102.csv", "ts_code,close\n000001.SZ,1.5\n")
+    put("trade_cal.csv", "exchange,cal_date,is_open\nSSE,20240101,0\nSSE,20240102,1\nSZSE,20240102,1\nSSE,20240103,1\n")
+    put("industry.csv", "l1_code,l1_name,ts_code,is_new\nI1,Banks,000001.SZ,Y\nI1,Banks,000002.SZ,N\nI2,Ships,000003.SZ,Y\n")
+    put("index_weight/X.SH/202401.csv", "con_code,trade_date\n000001.SZ,20240102\n000002.SZ,20240131\n")
+    put("financial/fina_indicator/202403.csv", "ts_code,end_date,eps\n000001.SZ,20240331,1\n000001.SZ,20240330,2\n")
+    put("own.csv", "a,b\n01,2\n")
+    r = RawTables(spark, str(tmp_path), {"open_days": Rule("trade_cal.csv", {"open": "is_open"})})
+    of = lambda *a, **k: sorted(tuple(x) for x in r.fetch(*a, **k).collect())
+    assert of("daily", trade_date="20240102") == [("000001.SZ", "1.5")]
+    assert of("trade_cal", "cal_date,none", exchange="SSE", start_date="20240102", end_date="20240103") == [("20240102",), ("20240103",)]
+    assert of("index_classify") == [("I1", "Banks"), ("I2", "Ships")]
+    assert of("index_member_all", "ts_code", l1_code="I1", is_new="Y") == [("000001.SZ",)]
+    assert of("index_weight", "con_code", index_code="X.SH", start_date="20240101", end_date="20240115") == [("000001.SZ",)]
+    assert of("fina_indicator_vip", "eps", period="20240331") == [("1",)]
+    assert of("own") == [("01", "2")] and len(of("open_days", open="1")) == 3
+    with pytest.raises(KeyError):
+        r.fetch("daily")
+    with pytest.raises(ValueError):
+        r.fetch("daily", trade_date="../x")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        r.fetch("daily", trade_date="20240103")
