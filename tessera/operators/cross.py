@@ -271,13 +271,16 @@ def daily_table(rows: DataFrame, share: float = 0.2) -> DataFrame:
     only = lambda c: F.when(F.col("__pair"), c)
     d = d.withColumn("__k", F.floor(F.count("value").over(w) * share))
     d = d.withColumn("__a", only(F.col("value") - F.min(only(F.col("value"))).over(w))).withColumn("__b", only(F.col("label") - F.min(only(F.col("label"))).over(w)))
-    d = d.withColumn("__rv", only(F.col("__rv"))).withColumn("__rl", only(F.col("__rl")))
+    # twice the ranks, centred, are whole numbers: their sums are exact in any order, and so is a correlation of zero
+    middle = F.count(only(F.lit(1))).over(w) + 1
+    d = d.withColumn("__rv", only(2 * F.col("__rv") - middle)).withColumn("__rl", only(2 * F.col("__rl") - middle))
     n, pairs = F.count(F.lit(1)), F.count("__a")
     picked = lambda c: F.avg(F.when(F.col("__have") & (F.col(c) <= F.col("__k")), F.col("label")))
     moments = lambda x, y, s: [F.regr_sxy(y, x).alias(f"{s}xy"), F.regr_sxx(y, x).alias(f"{s}xx"), F.regr_syy(y, x).alias(f"{s}yy"), ((F.max(x) > F.min(x)) & (F.max(y) > F.min(y))).alias(f"{s}v")]
+    whole = lambda x, y, s: [F.sum(F.col(x) * F.col(y)).alias(f"{s}xy"), F.sum(F.col(x) * F.col(x)).alias(f"{s}xx"), F.sum(F.col(y) * F.col(y)).alias(f"{s}yy"), ((F.max(x) > F.min(x)) & (F.max(y) > F.min(y))).alias(f"{s}v")]
     g = d.groupBy(*keys).agg(
         n.alias("universe_count"), F.count("value").alias("factor_count"), pairs.alias("pair_count"), (F.count("value") / n).alias("coverage"), (pairs / n).alias("pair_coverage"),
-        *moments("__a", "__b", "i"), *moments("__rv", "__rl", "r"),
+        *moments("__a", "__b", "i"), *whole("__rv", "__rl", "r"),
         F.avg("label").alias("universe_return"), ((picked("__top") - picked("__low")) / 2).alias("long_short_return"),
     )
 
