@@ -274,7 +274,7 @@ def components(scratch: Scratch, edges: DataFrame, name: str, most: int = 100, w
     """(node, root) for every node of the written edges (a, b) with a <> b: root is the least node of its component.
 
     Tasks of at most PART edges contract these to stars. Large-star and small-star steps alternate, each round's
-    edges contracted again, until all edges are stars around least nodes; raises if that takes more than most rounds. Unless
+    distinct edges (joins may be broadcasts, which leave equal ones in several tasks) contracted again, until all edges are stars around least nodes; raises if that takes more than most rounds. Unless
     whole: only contracts, and equal roots still mean one component, but not the other way round. A node of many
     edges has its minimum pre-aggregated, and the join that follows reads two written tables, so that skewed parts of it can be split."""
     made: list[str] = []
@@ -297,7 +297,7 @@ def components(scratch: Scratch, edges: DataFrame, name: str, most: int = 100, w
         large = write(both.join(m, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"), f"{name}/el{i}")
         m = write(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}/s{i}")
         pairs = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("p")
-        small = write(large.join(m, "u").select(pairs).select("p.u", "p.v").where("u <> v"), f"{name}/es{i}")
+        small = write(large.join(m, "u").select(pairs).select("p.u", "p.v").where("u <> v").distinct(), f"{name}/es{i}")
         e = contracted(small, f"{name}/{i}")
         scratch.drop(*made[:-1])
         made = made[-1:]
