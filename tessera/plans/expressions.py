@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.expression import INF
 from tessera.plans.catalog import query
 from tessera.sources.driver import events_panel
 
@@ -21,9 +22,17 @@ WINDOWS = """WINDOW w AS (PARTITION BY instrument ORDER BY pos), w5 AS (PARTITIO
 e AS (PARTITION BY instrument ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """As DuckDB rounds doubles: the scaled value to a whole number, halves away from zero. (Spark rounds the decimal text.)"""
+    y = c * 10.0**digits
+    near = F.rint(y)
+    whole = F.when(F.abs(y - near) == 0.5, y + F.signum(y) * 0.5).otherwise(near)
+    return F.when(F.abs(y) < INF, whole / 10.0**digits).otherwise(c)
+
+
 def tidy(df: DataFrame, digits: int = 4) -> DataFrame:
     """Doubles rounded, so that two engines' sums agree."""
-    return df.select(*(F.round(c, digits).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes))
+    return df.select(*(rounded(F.col(c), digits).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes))
 
 
 def expression_query(name: str, text: str, sql: str, boolean: bool = False) -> None:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.expression import quotient
 from tessera.operators import portfolio as P
 from tessera.plans.catalog import query
-from tessera.plans.expressions import GRID, WINDOWS, tidy
+from tessera.plans.expressions import GRID, WINDOWS, rounded, tidy
 from tessera.sources.driver import events_panel
 
 SCORES = f"{GRID}, s AS (SELECT instrument, datetime, avg(close) OVER w5 AS score FROM g {WINDOWS})"
@@ -35,7 +36,7 @@ MEAN = f"{GRID}, m AS (SELECT datetime, avg(close / open - 1) AS r FROM g GROUP
 
 
 def mean_returns(spark, sf_dir):
-    d = events_panel(spark, sf_dir).daily.groupBy("datetime").agg(F.avg(F.col("close") / F.col("open") - 1).alias("r"))
+    d = events_panel(spark, sf_dir).daily.groupBy("datetime").agg(F.avg(quotient(F.col("close"), F.col("open")) - 1).alias("r"))
     return d.select("datetime", (F.col("r") / 50).alias("return"), F.lit("all").alias("run"))
 
 
@@ -54,7 +55,7 @@ def drawdown(spark, sf_dir):
 round(stddev_samp(r) * sqrt(252), 6) AS annualized_volatility, round(avg(r) * 252 / (stddev_samp(r) * sqrt(252)), 4) AS sharpe, round(min(dd), 6) AS max_drawdown, round(avg(CAST(r > 0 AS DOUBLE)), 6) AS win_rate FROM k""")
 def risk_analysis(spark, sf_dir):
     d = P.risk_analysis(mean_returns(spark, sf_dir), ["run"]).drop("run")
-    return d.select(*(F.round(c, 4 if c in ("annualized_return", "sharpe") else 6).alias(c) for c in d.columns))
+    return d.select(*(rounded(F.col(c), 4 if c in ("annualized_return", "sharpe") else 6).alias(c) for c in d.columns))
 
 
 PREV = f"""{GRID}, l AS (SELECT *, last_value(CASE WHEN close IS NOT NULL THEN pos END IGNORE NULLS) OVER (PARTITION BY instrument ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lp FROM g),
