@@ -64,3 +64,7 @@ def same(spark, odd, name):
 
 def test_drawdown(spark, odd):
     assert any("NaN" in r for r in same(spark, odd, "drawdown"))
+
+
+def test_risk_analysis(spark, odd):
+    assert "NaN" in same(spark, odd, "risk_analysis")[0]
