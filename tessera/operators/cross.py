@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.expression import finite, no_nan
+from tessera.functions.expression import finite, no_nan, quotient
 from tessera.operators.grid import Day, Panel
 
 
@@ -100,9 +100,9 @@ def with_industry(df: DataFrame, spans: DataFrame, calendar: DataFrame, name: st
     return d.withColumn(name, F.when(F.col("__lo") != F.col("__hi"), clash).otherwise(F.col("__lo"))).drop("__lo", "__hi")
 
 
-def aligned(pred: DataFrame, label: DataFrame) -> DataFrame:
-    """instrument, datetime, pred and label of the days that either side has; values that aren't finite are missing."""
-    side = lambda d, c: d.select("instrument", "datetime", finite(F.col(c)).alias(c))
+def aligned(pred: DataFrame, label: DataFrame, only_finite: bool = True) -> DataFrame:
+    """instrument, datetime, pred and label of the days that either side has; values that aren't finite are missing (only_finite)."""
+    side = lambda d, c: d.select("instrument", "datetime", (finite(F.col(c)) if only_finite else F.col(c)).alias(c))
     return side(pred, "pred").join(side(label, "label"), ["instrument", "datetime"], "full")
 
 
@@ -114,14 +114,16 @@ def preprocess(df: DataFrame, factors: Sequence[str], method: str | None = "std"
     return standardize(df, factors) if standard else df
 
 
-def forward_returns(panel: Panel, horizons: Sequence[int], price: str = "close", entry_lag: int = 1) -> DataFrame:
-    """instrument, datetime and return_h: from entry_lag rows ahead over h more, on the whole calendar."""
+def forward_returns(panel: Panel, horizons: Sequence[int], price: str = "close", entry_lag: int = 1, positive: bool = True) -> DataFrame:
+    """instrument, datetime and return_h: from entry_lag rows ahead over h more, on the whole calendar.
+
+    A price that isn't positive is missing; unless positive, it divides as IEEE does: from zero an infinite return or NaN, to zero -1."""
     if any(not isinstance(h, int) or h < 1 for h in horizons):
         raise ValueError("horizons are positive integers")
     w = Window.partitionBy("instrument").orderBy("pos")
-    p = F.when(F.col(price) > 0, F.col(price))
+    p = F.when(F.col(price) > 0, F.col(price)) if positive else F.col(price)
     d = panel.dense(price).withColumn("__p", p)
-    ret = lambda h: F.try_divide(F.lead("__p", entry_lag + h).over(w), F.lead("__p", entry_lag).over(w)) - 1
+    ret = lambda h: quotient(F.lead("__p", entry_lag + h).over(w), F.lead("__p", entry_lag).over(w)) - 1
     return d.select("instrument", "datetime", *(ret(h).alias(f"return_{h}") for h in horizons))
 
 
@@ -142,16 +144,21 @@ def average_rank(value: Column, keys: Sequence[str]) -> Column:
     return F.rank().over(w) + (F.count(F.lit(1)).over(same) - 1) / F.lit(2.0)
 
 
+def _pearson(xy: str, xx: str, yy: str) -> Column:
+    """Of sums of squares and products, within -1 and 1; NaN of values that aren't finite."""
+    r = F.try_divide(F.try_divide(F.col(xy), F.sqrt(F.nullif(xx, F.lit(0.0)))), F.sqrt(F.nullif(yy, F.lit(0.0))))
+    return F.when(F.isnan(r), r).otherwise(F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+
+
 def correlation(df: DataFrame, x: str, y: str, keys: Sequence[str], name: str) -> DataFrame:
-    """Pearson correlation of each group, of anchored values; missing if either side is constant."""
+    """Pearson correlation of each group, of anchored values; missing if either side is constant, NaN if one isn't finite."""
     w = Window.partitionBy(*keys)
     d = df.withColumn("__a", F.col(x) - F.min(x).over(w)).withColumn("__b", F.col(y) - F.min(y).over(w))
     g = d.groupBy(*keys).agg(
         F.regr_sxy("__b", "__a").alias("sxy"), F.regr_sxx("__b", "__a").alias("sxx"), F.regr_syy("__b", "__a").alias("syy"),
-        (F.max("__a") > 0).alias("va"), (F.max("__b") > 0).alias("vb"),
+        (F.max(x) > F.min(x)).alias("va"), (F.max(y) > F.min(y)).alias("vb"),
     )
-    r = F.try_divide(F.try_divide(F.col("sxy"), F.sqrt(F.nullif("sxx", F.lit(0.0)))), F.sqrt(F.nullif("syy", F.lit(0.0))))
-    return g.select(*keys, F.when(F.col("va") & F.col("vb"), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))).alias(name))
+    return g.select(*keys, F.when(F.col("va") & F.col("vb"), _pearson("sxy", "sxx", "syy")).alias(name))
 
 
 def correlation_matrix(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -162,8 +169,7 @@ def correlation_matrix(df: DataFrame, names: Sequence[str]) -> DataFrame:
     g = df.select(pair).select("p.*").where("u is not null and v is not null").groupBy("x", "y").agg(
         F.regr_sxy("v", "u").alias("sxy"), F.regr_sxx("v", "u").alias("sxx"), F.regr_syy("v", "u").alias("syy"), ((F.max("u") > F.min("u")) & (F.max("v") > F.min("v"))).alias("varied")
     )
-    r = F.try_divide(F.try_divide(F.col("sxy"), F.sqrt(F.nullif("sxx", F.lit(0.0)))), F.sqrt(F.nullif("syy", F.lit(0.0))))
-    return g.select("x", "y", F.when(F.col("varied"), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))).alias("r"))
+    return g.select("x", "y", F.when(F.col("varied"), _pearson("sxy", "sxx", "syy")).alias("r"))
 
 
 def information(rows: DataFrame, keys: Sequence[str] = ("factor", "horizon", "datetime")) -> DataFrame:
@@ -285,8 +291,7 @@ def daily_table(rows: DataFrame, share: float = 0.2) -> DataFrame:
     )
 
     def corr(s: str) -> Column:
-        r = F.try_divide(F.try_divide(F.col(f"{s}xy"), F.sqrt(F.nullif(F.col(f"{s}xx"), F.lit(0.0)))), F.sqrt(F.nullif(F.col(f"{s}yy"), F.lit(0.0))))
-        return F.when(F.col(f"{s}v"), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+        return F.when(F.col(f"{s}v"), _pearson(f"{s}xy", f"{s}xx", f"{s}yy"))
 
     return g.select(*keys, "universe_count", "factor_count", "pair_count", "coverage", "pair_coverage", corr("i").alias("ic"), corr("r").alias("rank_ic"), "universe_return", "long_short_return")
 

@@ -68,3 +68,30 @@ def test_drawdown(spark, odd):
 
 def test_risk_analysis(spark, odd):
     assert "NaN" in same(spark, odd, "risk_analysis")[0]
+
+
+#: Of labels whose prices are zero, and of limits of zero.
+LABELS = ("box_summary",)
+LIMITS = ()
+SHARED = ("pred_label_outer", "rank_ic", "rolling_ic", "quantile_returns", "sector_ic", "sector_rank_ic", "sector_quantiles", "risk_sampling", "long_short_precision")
+
+
+@pytest.mark.parametrize("name", (*LABELS, *LIMITS, *SHARED))
+def test_zero_prices(spark, odd, name):
+    same(spark, odd, name)
+
+
+def test_operators_leave_zero_prices_out(spark, odd):
+    """By default, as queries without SQL do."""
+    import json
+
+    from tessera.operators import cross as C
+    from tessera.sources.driver import events_panel
+
+    d = C.forward_returns(events_panel(spark, odd[0]), [1])
+    assert d.where("return_1 is not null").count() > 100 and d.where("return_1 <= -1 or isnan(return_1) or return_1 = double('inf')").isEmpty()
+    for name in ("performance_p_value", "normal_points", "histogram"):
+        values = [v for r in catalog.queries()[name](spark, odd[0]).collect() for v in r if isinstance(v, float)]
+        assert values and all(map(math.isfinite, values))
+    report = json.loads(catalog.queries()["report_payload"](spark, odd[0]).collect()[0].payload)
+    assert all(r["ic_mean"] is not None for r in report["summary"])
