@@ -24,12 +24,12 @@ def require_unique(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
     return df.withColumn(k, F.when(n == 1, F.col(k)).otherwise(fail(f"repeated key of {what}:", *keys).cast(df.schema[k].dataType)))
 
 
-def validate_limits(limits: DataFrame, day: str | None = None) -> DataFrame:
-    """Keys unique (and all of one day); limits that aren't positive and finite are missing; up below down raises."""
+def validate_limits(limits: DataFrame, day: str | None = None, zero: bool = False) -> DataFrame:
+    """Keys unique (and all of one day); limits that aren't positive (or zero, if that is asked for) and finite are missing; up below down raises."""
     d = require_unique(limits, ["instrument", "datetime"], "limits")
     if day is not None:
         d = d.withColumn("datetime", F.when(F.col("datetime") == F.lit(day).cast("date"), F.col("datetime")).otherwise(fail("another day:", "instrument").cast("date")))
-    clean = lambda c: F.when((F.col(c) > 0) & (F.col(c) < INF), F.col(c))
+    clean = lambda c: F.when((F.col(c) >= 0 if zero else F.col(c) > 0) & (F.col(c) < INF), F.col(c))
     d = d.withColumn("up_limit", clean("up_limit")).withColumn("down_limit", clean("down_limit"))
     return d.withColumn("up_limit", F.when(F.coalesce(F.col("up_limit") < F.col("down_limit"), F.lit(False)), fail("limits cross:", "instrument").cast("double")).otherwise(F.col("up_limit")))
 
