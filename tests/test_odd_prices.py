@@ -71,7 +71,7 @@ def test_risk_analysis(spark, odd):
 
 
 #: Of labels whose prices are zero, and of limits of zero.
-LABELS = ("box_summary", "coverage", "cumulative_gaps", "factor_summary", "forward_returns", "ic", "kde", "long_short_alpha", "long_short_return", "monthly_ic", "net_fee_transform")
+LABELS = ("box_summary", "coverage", "cumulative_gaps", "factor_summary", "forward_returns", "ic", "kde", "long_short_alpha", "long_short_return", "monthly_ic", "net_fee_transform", "performance_metrics")
 LIMITS = ("limits_by_daily_join", "limits_validate")
 SHARED = ("pred_label_outer", "rank_ic", "rolling_ic", "quantile_returns", "sector_ic", "sector_rank_ic", "sector_quantiles", "risk_sampling", "long_short_precision")
 
