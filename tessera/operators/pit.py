@@ -7,7 +7,8 @@ from __future__ import annotations
 
 import ast
 import copy
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,6 +100,55 @@ def on_calendar(series: dict[str, DataFrame], grid: DataFrame) -> DataFrame:
     return both.select("instrument", "datetime", *(F.col(f"__row.`{c}`") for c in rest), *(E.finite(E.no_nan(F.col(n)["value"])).alias(n) for n in series))
 
 
+@dataclass(frozen=True)
+class Cells:
+    """The dense grid of instruments (instrument, each once) and calendar (datetime and pos), not laid out yet."""
+
+    instruments: DataFrame
+    calendar: DataFrame
+
+    def laid(self) -> DataFrame:
+        return self.instruments.crossJoin(F.broadcast(self.calendar))
+
+
+def in_runs(series: dict[str, DataFrame], cells: Cells, values: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that values would make of on_calendar(series, cells.laid()), if it takes each row by itself.
+
+    values: of a frame with instrument, __lo, __next and a column for each series; it keeps these three. It sees one row for
+    each run of calendar rows between events. Only events move and are sorted; a run becomes rows as the last step, in its own task."""
+    cal = cells.calendar.select("datetime")
+    order = Window.orderBy("datetime")
+    axis = cal.select("datetime", F.row_number().over(order).alias("__lo"), F.lag("datetime").over(order).alias("__b"))
+    # every day from the row before to this one, which an event on it reaches first; events after the last row reach none
+    axis = axis.select("__lo", F.explode(F.sequence(F.coalesce(F.date_add("__b", 1), "datetime"), "datetime")).alias("event"))
+    first = F.broadcast(cal.agg(F.min("datetime").alias("__first")))
+    both = cells.instruments.select("instrument", F.lit(None).cast("date").alias("event"), F.lit(1).alias("__lo"))
+    for name, events in series.items():
+        told = events.select("instrument", "event", F.struct(F.col("value").cast("double").alias("value")).alias(name))
+        told = told.join(F.broadcast(axis), "event", "left").crossJoin(first).withColumn("__lo", F.when(F.col("event") < F.col("__first"), 1).otherwise(F.col("__lo")))
+        both = both.unionByName(told.where("__lo is not null").drop("__first"), allowMissingColumns=True)
+    w = Window.partitionBy("instrument").orderBy("event")
+    now = w.rowsBetween(Window.unboundedPreceding, 0)
+    runs = both.select("instrument", "__lo", F.lead("__lo").over(w).alias("__next"), *(F.last(n, ignorenulls=True).over(now).alias(n) for n in series))
+    runs = runs.where("__next is null or __next > __lo").select("instrument", "__lo", "__next", *(E.finite(E.no_nan(F.col(n)["value"])).alias(n) for n in series))
+    done = values(runs)
+    days = cal.agg(F.array_sort(F.collect_list("datetime")).alias("__days"))
+    run = F.slice("__days", F.col("__lo"), F.coalesce("__next", F.size("__days") + 1) - F.col("__lo"))
+    rest = [c for c in done.columns if c not in ("instrument", "__lo", "__next")]
+    return done.crossJoin(F.broadcast(days)).select("instrument", F.explode(run).alias("datetime"), *rest)
+
+
+def _by_row(tree: ast.AST) -> bool:
+    """Whether an expression, outside of P and PRef, takes each row by itself and reads no daily field."""
+    if isinstance(tree, ast.Call):
+        name = tree.func.id
+        if name in ("P", "PRef", "pitfield"):
+            return True
+        if name in ("field", "Ref", "Delta") or E.OPERATORS[name].window is not None:
+            return False
+    return all(_by_row(c) for c in ast.iter_child_nodes(tree) if isinstance(c, ast.expr))
+
+
 def projection(records: DataFrame, node: ast.Call) -> DataFrame:
     """instrument, event, value of P(...) or PRef(..., k) at each announcement date.
 
@@ -136,9 +186,10 @@ class _Resolved(ast.NodeTransformer):
         return node
 
 
-def project(records: DataFrame, grid: DataFrame, expressions: dict[str, str], names: Sequence[str] | None = None) -> DataFrame:
+def project(records: DataFrame, grid: DataFrame | Cells, expressions: dict[str, str], names: Sequence[str] | None = None) -> DataFrame:
     """Expressions that hold P, PRef or bare $$ fields over a dense grid (instrument, datetime, pos, fields).
 
+    Cells are not laid out before they have to be: expressions that take each row by itself run on the runs between events.
     names: those of the registry, by which the last part of a dotted name finds its field."""
     special: dict[str, str] = {}
     series: dict[str, DataFrame] = {}
@@ -151,6 +202,10 @@ def project(records: DataFrame, grid: DataFrame, expressions: dict[str, str], na
                 special[key] = f"__s{len(special)}"
                 asked = node if names is None else _Resolved(names).visit(copy.deepcopy(node))
                 series[special[key]] = projection(records, asked)
+    if isinstance(grid, Cells):
+        if series and all(_by_row(E.parse(t)) for t in expressions.values()):
+            return in_runs(series, grid, lambda d: E.evaluate(d, expressions, ("instrument", "__lo", "__next"), special))
+        grid = grid.laid()
     return E.evaluate(on_calendar(series, grid) if series else grid, expressions, special=special)
 
 
