@@ -47,7 +47,7 @@ def test_no_days(tables):
     assert P.project(records, P.Cells(cells.instruments, cells.calendar.where(F.lit(False))), {"v": "P($$f)"}).isEmpty()
 
 
-@pytest.mark.parametrize("name", ["pit_daily_mix", "pit_p_expr", "pit_pref_expr", "pit_p_raw", "pit_pref"])
+@pytest.mark.parametrize("name", ["pit_daily_mix", "pit_p_expr", "pit_pref_expr", "pit_p_raw", "pit_pref", "pit_bare_field"])
 def test_the_grid_does_not_move(spark, sf, name):
     """In the physical plan no exchange and no sort stands above the step that makes rows of runs."""
     lines = catalog.queries()[name](spark, sf)._jdf.queryExecution().sparkPlan().toString().splitlines()
