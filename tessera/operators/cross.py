@@ -172,12 +172,37 @@ def correlation_matrix(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return g.select("x", "y", F.when(F.col("varied"), _pearson("sxy", "sxx", "syy")).alias("r"))
 
 
+def _paired(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows with what _sums reads, all by windows over one exchange by keys: __x, __y (value and label of rows that have both),
+    __a, __b (these from their least on), and __rv, __rl (their ranks)."""
+    w = Window.partitionBy(*keys)
+    d = rows.withColumn("__pair", F.col("value").isNotNull() & F.col("label").isNotNull())
+    d = d.withColumn("__rv", average_rank(F.col("value"), [*keys, "__pair"])).withColumn("__rl", average_rank(F.col("label"), [*keys, "__pair"]))
+    only = lambda c: F.when(F.col("__pair"), c)
+    d = d.withColumn("__x", only(F.col("value"))).withColumn("__y", only(F.col("label")))
+    d = d.withColumn("__a", F.col("__x") - F.min("__x").over(w)).withColumn("__b", F.col("__y") - F.min("__y").over(w))
+    # twice the ranks, centred, are whole numbers: their sums are exact in any order, and so is a correlation of zero
+    middle = F.count("__x").over(w) + 1
+    return d.withColumn("__rv", only(2 * F.col("__rv") - middle)).withColumn("__rl", only(2 * F.col("__rl") - middle))
+
+
+def _sums() -> list[Column]:
+    """Aggregates of _paired for _correlations."""
+    dot = lambda x, y: F.sum(F.col(x) * F.col(y))
+    varied = lambda x, y: (F.max(x) > F.min(x)) & (F.max(y) > F.min(y))
+    return [
+        F.regr_sxy("__b", "__a").alias("ixy"), F.regr_sxx("__b", "__a").alias("ixx"), F.regr_syy("__b", "__a").alias("iyy"), varied("__x", "__y").alias("iv"),
+        dot("__rv", "__rl").alias("rxy"), dot("__rv", "__rv").alias("rxx"), dot("__rl", "__rl").alias("ryy"), varied("__rv", "__rl").alias("rv"),
+    ]
+
+
+def _correlations() -> list[Column]:
+    return [F.when(F.col(f"{s}v"), _pearson(f"{s}xy", f"{s}xx", f"{s}yy")).alias(n) for s, n in (("i", "ic"), ("r", "rank_ic"))]
+
+
 def information(rows: DataFrame, keys: Sequence[str] = ("factor", "horizon", "datetime")) -> DataFrame:
-    """ic and rank_ic of each group, over rows that have value and label; groups without such a row stay, missing."""
-    pairs = rows.where("value is not null and label is not null")
-    ranked = pairs.withColumn("__rv", average_rank(F.col("value"), keys)).withColumn("__rl", average_rank(F.col("label"), keys))
-    ic, ric = correlation(pairs, "value", "label", keys, "ic"), correlation(ranked, "__rv", "__rl", keys, "rank_ic")
-    return rows.select(*keys).distinct().join(ic, list(keys), "left").join(ric, list(keys), "left")
+    """ic and rank_ic of each group, over rows that have value and label; groups without such a row stay, missing. One exchange by keys."""
+    return _paired(rows, keys).groupBy(*keys).agg(*_sums()).select(*keys, *_correlations())
 
 
 def quantiles(rows: DataFrame, q: int = 5, keys: Sequence[str] = ("factor", "datetime")) -> DataFrame:
@@ -268,32 +293,20 @@ def daily_table(rows: DataFrame, share: float = 0.2) -> DataFrame:
     exchange by these keys, and one aggregation reads them."""
     keys = ["factor", "horizon", "datetime"]
     w = Window.partitionBy(*keys)
-    pair, have = F.col("value").isNotNull() & F.col("label").isNotNull(), F.col("value").isNotNull()
-    d = rows.withColumn("__pair", pair).withColumn("__have", have)
-    # ranks among pairs, places among values, anchored pairs
-    d = d.withColumn("__rv", average_rank(F.col("value"), [*keys, "__pair"])).withColumn("__rl", average_rank(F.col("label"), [*keys, "__pair"]))
+    d = _paired(rows, keys).withColumn("__have", F.col("value").isNotNull())
+    # places among values
     v = Window.partitionBy(*keys, "__have")
     d = d.withColumn("__top", F.row_number().over(v.orderBy(F.desc("value"), "instrument"))).withColumn("__low", F.row_number().over(v.orderBy("value", "instrument")))
-    only = lambda c: F.when(F.col("__pair"), c)
     d = d.withColumn("__k", F.floor(F.count("value").over(w) * share))
-    d = d.withColumn("__a", only(F.col("value") - F.min(only(F.col("value"))).over(w))).withColumn("__b", only(F.col("label") - F.min(only(F.col("label"))).over(w)))
-    # twice the ranks, centred, are whole numbers: their sums are exact in any order, and so is a correlation of zero
-    middle = F.count(only(F.lit(1))).over(w) + 1
-    d = d.withColumn("__rv", only(2 * F.col("__rv") - middle)).withColumn("__rl", only(2 * F.col("__rl") - middle))
-    n, pairs = F.count(F.lit(1)), F.count("__a")
+    n, pairs = F.count(F.lit(1)), F.count("__x")
     picked = lambda c: F.avg(F.when(F.col("__have") & (F.col(c) <= F.col("__k")), F.col("label")))
-    moments = lambda x, y, s: [F.regr_sxy(y, x).alias(f"{s}xy"), F.regr_sxx(y, x).alias(f"{s}xx"), F.regr_syy(y, x).alias(f"{s}yy"), ((F.max(x) > F.min(x)) & (F.max(y) > F.min(y))).alias(f"{s}v")]
-    whole = lambda x, y, s: [F.sum(F.col(x) * F.col(y)).alias(f"{s}xy"), F.sum(F.col(x) * F.col(x)).alias(f"{s}xx"), F.sum(F.col(y) * F.col(y)).alias(f"{s}yy"), ((F.max(x) > F.min(x)) & (F.max(y) > F.min(y))).alias(f"{s}v")]
     g = d.groupBy(*keys).agg(
         n.alias("universe_count"), F.count("value").alias("factor_count"), pairs.alias("pair_count"), (F.count("value") / n).alias("coverage"), (pairs / n).alias("pair_coverage"),
-        *moments("__a", "__b", "i"), *whole("__rv", "__rl", "r"),
+        *_sums(),
         F.avg("label").alias("universe_return"), ((picked("__top") - picked("__low")) / 2).alias("long_short_return"),
     )
 
-    def corr(s: str) -> Column:
-        return F.when(F.col(f"{s}v"), _pearson(f"{s}xy", f"{s}xx", f"{s}yy"))
-
-    return g.select(*keys, "universe_count", "factor_count", "pair_count", "coverage", "pair_coverage", corr("i").alias("ic"), corr("r").alias("rank_ic"), "universe_return", "long_short_return")
+    return g.select(*keys, "universe_count", "factor_count", "pair_count", "coverage", "pair_coverage", *_correlations(), "universe_return", "long_short_return")
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -307,23 +320,28 @@ def staged(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def analyze(factors: DataFrame, names: Sequence[str], labels: DataFrame, horizons: Sequence[int], q: int = 5, lag: int = 1) -> dict[str, DataFrame]:
+def analyze(factors: DataFrame, names: Sequence[str], labels: DataFrame, horizons: Sequence[int], q: int = 5, lag: int = 1, keep: bool = False, carry: Sequence[str] = ()) -> dict[str, DataFrame]:
     """The result tables: daily, quantile_returns, quantile_membership, turnover, autocorrelation, summary.
 
-    Factors and labels are computed once, and all tables read that."""
-    wide = factors.select("instrument", "datetime", *names).join(labels.select("instrument", "datetime", *(f"return_{h}" for h in horizons)), ["instrument", "datetime"], "left")
+    Factors and labels are computed once, and all tables read that. keep: so are daily, quantile_returns and quantile_membership,
+    for a caller that reads most tables. carry: columns of factors that a further table has, rows (factor, horizon, value, label)."""
+    wide = factors.select("instrument", "datetime", *names, *carry).join(labels.select("instrument", "datetime", *(f"return_{h}" for h in horizons)), ["instrument", "datetime"], "left")
     wide = staged(wide)
     single = long_form(wide, names)
-    rows = wide.unpivot(["instrument", "datetime", *(f"return_{h}" for h in horizons)], list(names), "factor", "value")
+    rows = wide.unpivot(["instrument", "datetime", *carry, *(f"return_{h}" for h in horizons)], list(names), "factor", "value")
     pair = F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"return_{h}").alias("label")) for h in horizons))).alias("p")
-    rows = rows.select("factor", "datetime", "instrument", "value", pair).select("factor", "datetime", "instrument", "value", "p.*")
-    daily = daily_table(rows)
-    member = quantiles(single, q)
+    own = ("factor", "datetime", "instrument", "value")
+    every = rows.select(*own, *carry, pair).select(*own, *carry, "p.*")
+    rows = every.drop(*carry)
+    once = staged if keep else (lambda d: d)
+    daily = once(daily_table(rows))
+    member = once(quantiles(single, q))
     grouped = rows.join(member.select("factor", "datetime", "instrument", "quantile"), ["factor", "datetime", "instrument"])
     auto, turn = autocorrelation(single, lag), turnover(member, lag)
     ends = turn.groupBy("factor").agg(F.avg(F.when(F.col("quantile") == q, F.col("turnover"))).alias("top_turnover"), F.avg(F.when(F.col("quantile") == 1, F.col("turnover"))).alias("bottom_turnover"))
     total = summary(daily).join(auto.groupBy("factor").agg(F.avg("autocorrelation").alias("autocorrelation")), "factor", "left").join(ends, "factor", "left")
-    return {"daily": daily, "quantile_returns": quantile_returns(grouped), "quantile_membership": member, "turnover": turn, "autocorrelation": auto, "summary": total}
+    tables = {"daily": daily, "quantile_returns": once(quantile_returns(grouped)), "quantile_membership": member, "turnover": turn, "autocorrelation": auto, "summary": total}
+    return tables | ({"rows": every} if carry else {})
 
 
 def save(tables: dict[str, DataFrame], root: str) -> None:
